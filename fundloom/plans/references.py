@@ -68,7 +68,7 @@ parents AS (
   UNION ALL SELECT 'grants', {_canon("grant_id")}, createddate, deprecateddate FROM grants
   UNION ALL SELECT 'orphans', {_canon("id")}, createddate, deprecateddate FROM grant_orphaned_abstracts),
 missing AS (
-  SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.target = r.target AND p.key = r.key AND p.since <= r.at AND (p.until IS NULL OR p.until > r.seen)))
+  SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM parents p WHERE p.target = r.target AND p.key = r.key AND p.since <= r.seen AND (p.until IS NULL OR p.until > r.seen)))
 """
 SQL = {
     "p4_found": _CTE + "SELECT DISTINCT ref_table, ref_field, ref_row FROM missing",
