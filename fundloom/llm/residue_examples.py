@@ -1,0 +1,70 @@
+"""Labelled examples for the residue models: what forms, exports and web pages leave behind."""
+
+# Examples of filler and of bare stand-ins for content.
+FILLER = """
+lorem ipsum|lorem ipsum dolor|lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua
+ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat
+duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur
+excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum
+semquat nullat consequam mauric pellent tristel velor porti nunca ferit oratium ligna vitam eget adipix vestra
+mauric consequam amet pellent semquat dolor ferit nunca nunca vitam oratium tristel ligna eget velor sit porti lorem
+vivamus vestibulum mauris vestra nullam at urna nec libero porta tincidunt pellentesque habitant morbi tristique senectus et netus
+asdf asdf|asdf jkl|asdf asdf asdf jkl jkl|qwerty|qwertyuiop|zzz|zzzz|xxxxx|xxxx xxxx|xxxxxxxxxxxxxxxxxxxxxxxx|abc 0|abc abc|aaaa
+blah blah|blah blah blah|test|test test|test test test 0|testing 0|test record please ignore|test entry|dummy text|sample text|text text text text text
+filler heading one|filler heading two|filler text|placeholder|placeholder text|placeholder title|texto de ejemplo|beispieltitel|beispieltext|texte d'exemple|titre provisoire|título de ejemplo
+tbd|tba|t.b.d.|t.b.a.|to be determined|to be announced|to be added|to be added later|to be supplied|to be completed|(to follow)|to follow|coming soon|pending|abstract pending|title pending
+n/a|na|none|null|null null|nil|undefined|nan|unknown|untitled|no title|title|grant|grant 0|award|project|proposal|project title|grant title|award title 0|proposal title|name
+no abstract|no abstract available.|abstract not available|abstract not provided by sponsor|not provided|not available|see attached|see attached document.|see attachment|see above|as above|same as above
+same as last year - update before submission|new proposal (copy)|copy of proposal|new project 0|new award|copy of template v0|template|document0|untitled document|draft|do not use|delete me
+........|.....|?????|???|-----|-|--|*****|_____|#####
+""".strip()
+
+# Examples of spreadsheet and program errors, access messages and script notices.
+NOTICES = """
+#value!|#ref!|#name?|#n/a|#div/0!|#null!|#num!|#value! #value! #ref!|=vlookup(a0,titles,0,0)|=concatenate(a0,b0)|[object object]|[object object],[object object]|nan nan
+error|error 0|error: title is undefined|error: undefined|error 0 while loading the remaining text.|an error occurred while loading this page.|an error has occurred|internal server error
+0 not found|0 forbidden|0 bad gateway|0 service unavailable|0 gateway timeout|0 unauthorized|http 0 - the server was unable to handle the request.|http error 0|error 0: upstream timed out while reading response header.
+<html><head><title>error</title></head><body><h0>gateway timeout</h0></body></html>|<html><head><title>0 forbidden</title></head><body></body></html>
+page not found|page not found.|the requested page could not be found. check the address or return to the start page.|the page you asked for does not exist.|this abstract has moved. if you are not redirected in 0 seconds, click here.|it may have been removed or renamed.
+we could not find the award page you asked for. it may have been removed or renamed.|we could not find the record you asked for.|we could not find the document you asked for.|we could not find the abstract you asked for.|we could not find the link you asked for.|we could not find the project file you asked for.
+access denied|access denied.|access to this document is denied.|you do not have permission to open award page 0 on this server.|you do not have permission to open document 0 on this server.|you do not have permission to open project file 0 on this server.|you do not have permission to open link 0|permission denied|forbidden
+login required|log in|log in.|please log in to continue|sign in|sign in with your institution account to read the full text. forgot your password?|your session has expired|your session has expired. log in again to see the abstract.|session expired|already a member? log in.
+access to abstracts needs a subscription. already a member? log in.|subscribe to continue.|you have reached the limit of 0 free searches. subscribe to continue.|too many requests.|too many requests. wait 0 minutes before the next search.
+site under maintenance|this site is down for maintenance until 0:0. we apologise for the trouble.|scheduled maintenance|service unavailable|no server is available to handle this request.|temporarily unavailable
+sorry, something went wrong on our side (code 0). try again in a few minutes.|oops! something went wrong.|something went wrong|internal error while fetching abstract 0; the administrator has been told.|internal error while fetching award page 0|internal error while fetching record 0|internal error while fetching document 0|internal error while fetching project file 0|internal error while fetching link 0
+database connection failed, award page not loaded. retry 0 of 0.|database connection failed, link not loaded.|database connection failed, abstract not loaded.|database connection failed, record not loaded.|database connection failed, document not loaded.|database connection failed, project file not loaded.
+the award page server took too long to answer (0).|the abstract server took too long to answer (0).|the document server took too long to answer|the record server took too long to answer|the project file server took too long to answer|your request has been logged under id 0.|reload in 0 seconds.|ray 0|reference #0|incident 0-0
+just a moment...|just a moment... checking that you are not a robot. this takes a few seconds.|checking your browser before accessing|verify you are human by ticking the box below.|unusual traffic was seen from your network. solve the puzzle to go on.|loading...|loading... please wait.|loading... please wait. loading... please wait.|please wait|content failed to load|[content failed to load. retry]
+javascript required|javascript is disabled|you need to enable javascript to run this app.|please enable javascript to view this page.|we're sorry but this page needs you to switch on javascript in your browser to continue.|we're sorry but this app does not work without javascript enabled.|to continue, turn on javascript and cookies to use the award search.|to continue, switch on javascript and cookies to continue.|please allow javascript and cookies in the browser settings to see the rest.|scripts are disabled in your browser; enable them to see the rest.|this page requires javascript|your browser is out of date and cannot show this content.|cookies are disabled
+home¦search¦help|home¦contact¦terms of use|back to top|award search > record 0 >|page 0 of 0
+enable scripting and reload the page.|please turn on scripts to view this record.|keyerror: 'title'|typeerror: cannot read title
+we use cookies. accept all¦reject all¦manage choices|accept all cookies|read more.|click here to read more
+bitte aktivieren sie javascript, um diese seite anzuzeigen.|ihre sitzung ist abgelaufen.|service nicht verfügbar, bitte später erneut versuchen.|die angeforderte seite wurde nicht gefunden (fehler 0).|zugriff verweigert|seite nicht gefunden|anmeldung erforderlich
+activez javascript pour afficher cette page.|page introuvable. retour à l'accueil.|accès refusé|votre session a expiré|erreur 0
+esta página requiere javascript. actívelo y vuelva a intentarlo.|acceso denegado. inicie sesión para continuar.|página no encontrada|su sesión ha caducado
+请启用脚本以查看此页面。|页面未找到|访问被拒绝|ページが見つかりません|アクセスが拒否されました
+warning: undefined index abstract_text in /srv/export/view.php on line 0|warning: undefined variable in /var/www/index.php on line 0|traceback (most recent call last): file "export.py", line 0, in write_row keyerror: 'abstract'|java.lang.nullpointerexception at award.export.row(export.java:0)|ora-0: value too large for column abstract_txt|sql error: syntax error near|segmentation fault
+""".strip()
+
+# Examples of unfilled placeholders and of form instructions.
+FORMS = """
+[type title here]|(type title)|(type short title)|<type project name>|<type proposal title>|(add short title)|(add title)|<enter proposal name>|<enter grant title>|<add proposal name>|[title]|[name]|[short title]|[insert grant title here]|<insert proposal short title>|[enter award name here]|[add grant title here]|(enter title)|(insert name)|<insert proposal title>|<project title>|<name of partner>|<title>|add project name here|add grant title here|enter title|enter title here|insert title here|insert name here
+your abstract goes here|your title here|[paste abstract here]|paste abstract here|click or tap here to enter text.|click here to enter text|type here|enter text here|enter abstract here|[insert abstract]
+[insert species]|[tbd]|[n]|[institution name]|[citation needed]|[verb] [object]|[goal]|[date]|[year]|[place]|[xx]|<region>|<month year>|<year>|<name>|<date>|(todo: ask pi for numbers)|todo: add figures|(todo)|todo|[note to self: expand this section]|note to self|{insert sentence on significance here}|{insert text}|$xxx,xxx|xx%|____ students|__________ will supervise
+the {project} will {verb} the {noun} in {place}.|{name}|dear {{first_name}}, the abstract for {{grant_id}} is attached.
+instructions to applicant: replace this paragraph with your project summary of no more than 0 words.|replace this text|delete this text before submitting|(delete this text before submitting.)|describe the aims. describe the methods. describe the expected outcomes.|state objectives, methods and significance.|do not exceed 0 words.|provide a summary of the project in plain language.|enter a description of at most 0 characters. do not include figures.|summarize the need, the activities and the expected results here; leave blank lines between parts.
+abstract (maximum 0 characters):|project summary (max. 0 words)|field 0b - project description - 0 characters left|0 characters left|(up to 0 words)|example: this project will [verb] [object] in order to [goal]. (up to 0 words)|pi to supply 0-word lay summary.|office use only below this line.|for office use only
+zusammenfassung hier einfügen.|titel hier eingeben|résumé du projet (0 caractères maximum) :|texte à compléter par le demandeur.|insérer le titre ici|introduzca aquí el resumen del proyecto (máximo 0 palabras).|escriba aquí el título
+a total of [n] participants will be enrolled|the team at [institution name] leads the work.|as shown by [citation needed], the method is sound.|work in <region> starts in <month year>.|the budget requests $xxx,xxx for year one.
+""".strip()
+
+# Shapes of template marks, with a for a run of letters.
+MARKS = """
+{{a}}|{{ a }}|{{a_a}}|{{ a_a }}|${a}|${a_a}|${a.a}|#{a}|#{a_a}|%a%|%%a%%|%%a_a%%|%a_a%|<<a>>|<<a_a>>|<<a a>>|@@a@@|@@a_a@@|@a@|@a_a@|__a__|__a_a__|{% a %}|{% a a %}|{% a %}{% a %}|<%= a %>|<%= a_a %>|<% a %>
+$a,a|____ a|__________ a
+""".strip()
+
+
+def examples(block: str) -> list[str]:
+    """The examples of a block, one string each; a broken bar stands for a bar within one."""
+    return [e.replace("¦", " | ") for line in block.splitlines() for e in line.split("|") if e.strip()]
