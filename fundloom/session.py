@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +32,25 @@ def get_spark(app: str = "fundloom", cores: str = "8", partitions: int = 8) -> S
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each context, wherever it lies on the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fundloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="fundloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "fundloom_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    sc._fundloom_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
