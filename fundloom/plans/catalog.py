@@ -1,5 +1,5 @@
 """All query modules outside the optional subpackage."""
 
-from fundloom.plans import references
+from fundloom.plans import cleaning, references
 
-MODULES = [references]
+MODULES = [references, cleaning]
