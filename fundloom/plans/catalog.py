@@ -1,5 +1,5 @@
 """All query modules outside the optional subpackage."""
 
-from fundloom.plans import cleaning, references
+from fundloom.plans import cleaning, joins, references
 
-MODULES = [references, cleaning]
+MODULES = [references, cleaning, joins]
