@@ -143,8 +143,9 @@ def best_fuzzy(left: DataFrame, right: DataFrame, key: str, name: str, block: li
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
     """A sampling operator: about n rows, each stratum in proportion and at least once, in the order of a seeded hash."""
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))
-    sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    stratum = F.xxhash64(*strata)
+    sizes = df.groupBy(stratum.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_t"))
-    quota = sizes.join(F.broadcast(total), F.lit(True)).select(*strata, F.greatest(F.lit(1), F.bround(F.col("_n") / F.col("_t") * n)).cast("int").alias("_q"))
-    w = Window.partitionBy(*strata).orderBy(order, key)
-    return df.withColumn("_i", F.row_number().over(w)).join(quota, [F.coalesce(df[c], F.lit("")) == F.coalesce(quota[c], F.lit("")) for c in strata]).where("_i <= _q").select(*[df[c] for c in df.columns])
+    quota = sizes.join(F.broadcast(total), F.lit(True)).select("_s", F.greatest(F.lit(1), F.bround(F.col("_n") / F.col("_t") * n)).cast("int").alias("_q"))
+    w = Window.partitionBy("_s").orderBy(order, key)
+    return df.withColumn("_s", stratum).withColumn("_i", F.row_number().over(w)).join(quota, "_s").where("_i <= _q").select(*df.columns)

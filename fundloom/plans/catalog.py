@@ -1,5 +1,5 @@
 """All query modules outside the optional subpackage."""
 
-from fundloom.plans import cleaning, joins, references
+from fundloom.plans import aggregates, cleaning, joins, references
 
-MODULES = [references, cleaning, joins]
+MODULES = [references, cleaning, joins, aggregates]
