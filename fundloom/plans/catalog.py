@@ -1,5 +1,5 @@
 """All query modules outside the optional subpackage."""
 
-from fundloom.plans import aggregates, classification, cleaning, joins, references
+from fundloom.plans import aggregates, classification, cleaning, discovery, joins, references
 
-MODULES = [references, cleaning, joins, aggregates, classification]
+MODULES = [references, cleaning, joins, aggregates, classification, discovery]
