@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Most labelled documents read; words of a window and of its step; nearest examples asked; least cosine of a vote;
 #: postings of a block; votes from which an example of an abusive document is abusive, and of any document; how far it
 #: may stay behind the worst of its document; weight of no neighbour at all; base rate.
-MAX_LABELLED, WINDOW, STEP, NEAREST, FLOOR, BLOCK, OWN, OTHER, BEHIND, NOBODY, BASE = 20_000, 12, 6, 7, 0.3, 128, 0.55, 0.8, 0.2, 0.02, 0.15
+MAX_LABELLED, WINDOW, STEP, NEAREST, FLOOR, BLOCK, OWN, OTHER, BEHIND, NOBODY, BASE = 10_000, 12, 6, 7, 0.3, 128, 0.55, 0.8, 0.2, 0.02, 0.15
 #: The same votes once the examples are mostly settled, when only abusive ones gather votes.
 OWN_LATER, OTHER_LATER = 0.4, 0.6
 #: Score from which a document counts as abusive.
