@@ -27,6 +27,8 @@ from fundloom.llm.residue import plain, segments
 BITS, MAX_ROWS, EPOCHS, L2, SURE, OPENINGS, DISAGREE, HELD_OUT = 18, 20_000, 6, 1e-4, 0.5, 8, 0.55, 4
 #: Weight of missed against spurious labels in the calibration; share of a text's phrases that tells as much as a title.
 BETA, SHARE = 2.0, 0.25
+#: Least steps of a fit, so that a small sample converges as well.
+LEAST_STEPS = 20_000
 #: Log odds of a phrase without evidence.
 BIAS = -2.5
 #: Least score of the best area of a row without any area above its threshold.
@@ -142,7 +144,7 @@ def _fit(rows: list[np.ndarray], y: np.ndarray, n: np.ndarray, seed: int = 11) -
     w, b = np.zeros((1 << BITS, k), dtype=np.float32), np.full(k, BIAS)
     gw = np.full((1 << BITS, k), 1e-6, dtype=np.float32)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, len(rows))))):
         for i in rng.permutation(len(rows)):
             x = rows[i]
             v = 1 / np.sqrt(len(x))
