@@ -99,19 +99,17 @@ def decide(docs: DataFrame, scores: DataFrame, key: str, title: str, rest: str,
     leaves: leaf, n_leaf_terms. A leaf without a row has the score 0; ties go to the smaller leaf.
     """
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "leaf", "n_terms")))
-    ids = leaves.agg(F.array_sort(F.collect_list("leaf")).alias("ids"))  # a taxonomy's leaves
-    top = scores.groupBy(key).agg(ranked.alias("r"))
-    x = docs.select(key, title, rest).join(top, key, "left").join(F.broadcast(ids), F.lit(True))
-    seen = F.coalesce(F.transform("r", lambda r: r["leaf"]), F.array().cast("array<int>"))
-    zero = F.transform(F.array_except("ids", seen), lambda i: F.struct(F.lit(0.0).alias("s"), i.alias("leaf"), F.lit(0).cast("bigint").alias("n_terms")))
-    all_ = F.array_sort(F.concat(F.coalesce("r", F.array().cast("array<struct<s:double,leaf:int,n_terms:bigint>>")), zero))
-    x = x.withColumn("a", all_).withColumn("one", F.element_at("a", 1)).withColumn("two", F.when(F.size("a") > 1, F.element_at("a", 2)).otherwise(F.element_at("a", 1)))
+    ids = leaves.agg(F.array_sort(F.collect_list("leaf")).alias("_ids"))  # a taxonomy's leaves
+    top = scores.groupBy(key).agg(ranked.alias("_r"))
+    bare = F.trim(F.lower(F.regexp_replace(tx.clean_title(F.col(title)), r"[.!]+$", "")))
+    told = docs.select(key, (F.size(tx.tokens(F.col(title))) == 0).alias("_no_title"), (F.size(tx.tokens(F.col(rest))) == 0).alias("_no_rest"), bare.isin(placeholders).alias("_bare"))
+    x = told.join(top, key, "left").join(F.broadcast(ids), F.lit(True))
+    seen = F.coalesce(F.transform("_r", lambda r: r["leaf"]), F.array().cast("array<int>"))
+    zero = F.transform(F.array_except("_ids", seen), lambda i: F.struct(F.lit(0.0).alias("s"), i.alias("leaf"), F.lit(0).cast("bigint").alias("n_terms")))
+    all_ = F.array_sort(F.concat(F.coalesce("_r", F.array().cast("array<struct<s:double,leaf:int,n_terms:bigint>>")), zero))
+    x = x.withColumn("_a", all_).withColumn("one", F.element_at("_a", 1)).withColumn("two", F.when(F.size("_a") > 1, F.element_at("_a", 2)).otherwise(F.element_at("_a", 1)))
     s1, s2 = -F.col("one.s"), -F.col("two.s")
-    no_rest = F.size(tx.tokens(F.col(rest))) == 0
-    bare = F.lower(F.regexp_replace(tx.clean_title(F.col(title)), r"[.!]+$", ""))
-    reason = (
-        F.when((F.size(tx.tokens(F.col(title))) == 0) & no_rest, "no_usable_text").when(no_rest & F.trim(bare).isin(placeholders), "placeholder_title_only").when(s1 <= 0, "no_keyword_evidence")
-    )
+    reason = F.when(F.col("_no_title") & F.col("_no_rest"), "no_usable_text").when(F.col("_no_rest") & F.col("_bare"), "placeholder_title_only").when(s1 <= 0, "no_keyword_evidence")
     x = x.withColumn("reason", reason).join(leaves.withColumnRenamed("leaf", "_l"), F.col("one.leaf") == F.col("_l"), "left")
     given = F.col("reason").isNull()
     margin = F.when(given, (s1 - s2) / s1).otherwise(0.0)
