@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.functions import text as tx
-from fundloom.session import BROADCAST_ROWS, broadcast_if_small
+from fundloom.session import BROADCAST_ROWS, broadcast_if_small, spread
 
 TIERS = ("exact", "collapsed", "stem")
 
@@ -44,12 +44,12 @@ def matches(docs: DataFrame, key: str, fields: list[str], terms: DataFrame) -> D
     n = t.count()
     sizes = [r[0] for r in t.select("s.size").distinct().collect()]  # lengths of phrases, a handful
     forms = t.select("term", "s.size", F.explode(F.array(*[F.struct(F.lit(i).alias("tier"), F.col(f"s.{h}").alias("w")) for i, h in enumerate(TIERS)])).alias("f")).select("term", "size", "f.tier", "f.w")
-    long = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("x")) for f in fields])).alias("f"))
+    long = spread(docs.select(key, *fields)).select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("x")) for f in fields])).alias("f"))
     sent = long.select(key, "f.field", F.posexplode(tx.sentences(F.col("f.x"))).alias("sentence", "s"))
-    words = sent.select(key, "field", "sentence", tx.tokens(F.col("s")).alias("w"))
-    kinds = [F.col("w"), F.transform("w", tx.collapse), F.transform("w", tx.fold_plural)]
+    words = sent.select(key, "field", "sentence", tx.tokens(F.col("s")).alias("w0")).withColumns({"w1": F.transform("w0", tx.collapse), "w2": F.transform("w0", tx.fold_plural)})
+    kinds = [F.col("w0"), F.col("w1"), F.col("w2")]
     at = lambda a, i: F.transform(F.sequence(F.lit(1), F.size(a) - (i - 1)), lambda p: F.struct(p.alias("pos"), F.array_join(F.slice(a, p, i), " ").alias("w")))
-    one = lambda i, tier: F.when(F.size("w") >= i, F.transform(at(kinds[tier], i), lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w"), F.lit(i).alias("size"), F.lit(tier).alias("tier")))).otherwise(F.array().cast("array<struct<pos:int,w:string,size:int,tier:int>>"))
+    one = lambda i, tier: F.when(F.size("w0") >= i, F.transform(at(kinds[tier], i), lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w"), F.lit(i).alias("size"), F.lit(tier).alias("tier")))).otherwise(F.array().cast("array<struct<pos:int,w:string,size:int,tier:int>>"))
     if not sizes:
         return docs.sparkSession.createDataFrame([], f"{key} {docs.schema[key].dataType.simpleString()}, field string, sentence int, pos int, term string, how string")
     windows = words.select(key, "field", "sentence", F.explode(F.concat(*[one(i, tier) for i in sorted(sizes) for tier in range(3)])).alias("x")).select(key, "field", "sentence", "x.*")

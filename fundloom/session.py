@@ -83,6 +83,15 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer partitions than those; else as it is, without a shuffle.
+
+    For costly work on each row of a table that is read from a few files.
+    """
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(workers(df.sparkSession)) if parts < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def workers(spark: SparkSession) -> int:
     """Partitions to spread Python work over: the session's shuffle partitions, at least the cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
