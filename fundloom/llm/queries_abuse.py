@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundloom.llm.abuse import ABUSIVE, score_abuse, train
-from fundloom.session import load, workers
+from fundloom.session import load, spread
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and evidence of every document."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text").repartition(workers(spark))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return score_abuse(docs, "doc_id", "text", train(docs, "doc_id", "text", load(spark, sf_dir, "doc_labels"), "abusive"), ("source",))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fundloom.llm.fusion import cut_off, fuse, text_key
 from fundloom.llm.residue import find_residue
-from fundloom.session import load, materialize
+from fundloom.session import load, materialize, spread
 
 #: Trust of the sources of an abstract, by the meaning of their spelling.
 TIERS = {"internal": 4, "orphan_recovered": 3, "nih_reporter": 2, "nsf_api": 2, "nih_reporter_parent": 1}
@@ -21,7 +21,7 @@ def source_name(c: Column) -> Column:
 def p3_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each field with residue, how much of it is residue and an example of it."""
     g = load(spark, sf_dir, "grants")
-    return find_residue(g, "record_id", ["grantname"], ["abstract"])
+    return find_residue(spread(g.select("record_id", "grantname", "abstract")), "record_id", ["grantname"], ["abstract"])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = load(spark, sf_dir, "grants").select("grant_id", "record_id", "abstract", "abstract_source", "updateddate")
     several = g.where(F.col("grant_id").isNotNull()).groupBy("grant_id").count().where("count > 1").select("grant_id")
-    residue = find_residue(load(spark, sf_dir, "grants"), "record_id", [], ["abstract"]).select("record_id").distinct()
+    residue = find_residue(spread(load(spark, sf_dir, "grants").select("record_id", "abstract")), "record_id", [], ["abstract"]).select("record_id").distinct()
     rows = g.join(several, "grant_id", "left_semi").withColumn("value", text_key(F.col("abstract"))).where(F.col("value").isNotNull())
     rows = materialize(rows.join(residue, "record_id", "left_anti"), "usable")
     rows = rows.join(cut_off(rows, "grant_id", "record_id", "value").distinct(), "record_id", "left_anti").withColumn("source", source_name(F.col("abstract_source")))

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from fundloom.llm import residue_examples as ex
 from fundloom.llm.subjects import assign_subjects
-from fundloom.session import load, workers
+from fundloom.session import load, spread
 
 
 def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas of every grants row with their scores."""
     areas = sorted(r[0] for r in load(spark, sf_dir, "subject_areas").select("subject_id").where("subject_id IS NOT NULL").collect())  # ten rows
     empty = [e for b in (ex.FILLER, ex.NOTICES, ex.FORMS) for e in ex.examples(b)]
-    grants = load(spark, sf_dir, "grants").select("record_id", "grantname", "abstract").repartition(workers(spark))
+    grants = spread(load(spark, sf_dir, "grants").select("record_id", "grantname", "abstract"))
     return assign_subjects(grants, "record_id", "grantname", "abstract", load(spark, sf_dir, "subject_labels"), "subject_id", areas, empty)
 
 

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from fundloom.llm.bpe import token_count, token_ids, vocabulary
 from fundloom.llm.packing import fill_report, pack_documents
-from fundloom.session import load, materialize, workers
+from fundloom.session import load, materialize, spread
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by byte_bpe_50k, without special tokens."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text").repartition(workers(spark))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", token_ids(F.col("text"), vocabulary(spark)).alias("ids"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text").repartition(workers(spark))
+    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return materialize(docs.select("doc_id", token_count(F.col("text"), vocabulary(spark)).alias("tokens")), "tokens")
 
 
