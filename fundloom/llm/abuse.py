@@ -187,10 +187,13 @@ def _settle(owner: list[np.ndarray], label: np.ndarray, near: list[np.ndarray],
     rate = np.array([label[o].mean() for o in owner])
     prior = (rate * size + 2 * BASE) / (size + 2)
     own = np.where(size >= 3, np.minimum(0.5, 0.05 * size), 0.0)  # an example in several documents has a small say on itself
+    several = np.minimum(size, 4)
     flat, at = np.concatenate(owner), np.repeat(np.arange(len(owner)), size)
     y = np.where(size >= 3, prior, rate)
     for own_least, behind, other_least in ((OWN, BEHIND, 2.0), (OWN, BEHIND, OTHER), *[(OWN_LATER, 1.0, OTHER_LATER)] * 3):
-        votes = np.array([((c.astype(np.float64) ** 4 * y[n]).sum() + k * p) / ((c.astype(np.float64) ** 4).sum() + k + NOBODY) for n, c, k, p in zip(near, cos, own, prior)])
+        # an example that stands in several documents weighs more than one reader's verdict
+        weights = [c.astype(np.float64) ** 4 * several[n] for n, c in zip(near, cos)]
+        votes = np.array([((w * y[n]).sum() + k * p) / (w.sum() + k + NOBODY) for n, w, k, p in zip(near, weights, own, prior)])
         worst = np.zeros(len(label))
         np.maximum.at(worst, flat, votes[at])
         explains = np.zeros(len(owner), dtype=bool)
