@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,6 +141,55 @@ def best_fuzzy(left: DataFrame, right: DataFrame, key: str, name: str, block: li
     return exact.unionByName(best)
 
 
+def _letters(names: list[str]) -> np.ndarray:
+    """Counts of characters of each name, in 48 bins."""
+    out = np.zeros((len(names), 48), "int16")
+    for i, name in enumerate(names):
+        np.add.at(out[i], np.fromiter(map(ord, name), int, len(name)) % 48, 1)
+    return out
+
+
+def _near_names(a: list[str], b: list[str], least: float, slack: float = 100.0) -> Iterator[tuple[str, str, float]]:
+    """Pairs of names whose ratio and token_set both reach least; what two names share in letters bounds their common subsequence.
+
+    Pairs that lie more than slack below the best of their name in b may be left out.
+    """
+    b = sorted(b, key=len)
+    size, theirs, mine = np.array([len(x) for x in b]), _letters(b), _letters(a)
+    share = least / (200.0 - least)
+    for x, letters in zip(a, mine):
+        low, high = np.searchsorted(size, len(x) * share - 1e-6), np.searchsorted(size, len(x) / share + 1e-6, "right")
+        both = np.minimum(theirs[low:high], letters).sum(1)
+        bound = 200.0 * both / (len(x) + size[low:high])
+        floor = least
+        for i in np.argsort(-bound, kind="stable"):
+            if bound[i] < floor - 1e-6:
+                break
+            y = b[low + i]
+            score = 100.0 if x == y else _indel(x, y)
+            if score >= floor and (score := min(score, token_set(x, y))) >= floor:
+                floor = max(floor, score - slack)
+                yield x, y, score
+
+
+def near_names(left: DataFrame, right: DataFrame, name: str, least: float, block: int = 2048, slack: float = 100.0) -> DataFrame:
+    """All pairs of distinct names (a, b, score) whose smaller one of ratio and token_set is at least `least`.
+
+    Every block of left meets every block of right, and only a bound on the score spares a pair its
+    scoring, so no pair is lost; the bounds cost time in proportion to the product of both sides.
+    NULL and empty names have no pairs. Pairs that lie more than slack below the best of their left
+    name may be left out.
+    """
+    sides = [x.where(F.length(name) > 0).select(F.col(name).alias("name")).distinct() for x in (left, right)]
+    parts = [max(1, -(-x.count() // size)) for x, size in zip(sides, (block, 16 * block))]
+    one, two = (x.select("name", F.pmod(F.xxhash64("name"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)) for x, n, m, own, other in zip(sides, parts, parts[::-1], "ij", "ji"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_near_names(list(x["name"]), list(y["name"]), least, slack), columns=["a", "b", "score"]).astype({"score": "float64"})
+
+    return one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(run, "a string, b string, score double")
+
+
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
     """A sampling operator: about n rows, each stratum in proportion and at least once, in the order of a seeded hash."""
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))

@@ -90,8 +90,8 @@ def _(t: Tables) -> DataFrame:
 @R.add("j11_fuzzy_names")
 def _(t: Tables) -> DataFrame:
     a = agency_name(F.col("agencyname"))
-    names = t.grants.select(a.alias("key"), a.alias("name"), F.substring(a, 1, 1).alias("block")).distinct()
-    usual = t.grants.groupBy(a.alias("name")).count().where("count >= 5").select("name", F.substring("name", 1, 1).alias("block"))
+    names = t.grants.select(a.alias("key"), a.alias("name"), F.lit(0).alias("block")).distinct()
+    usual = t.grants.groupBy(a.alias("name")).count().where("count >= 5").select("name", F.lit(0).alias("block"))
     return op.best_fuzzy(names, usual, "key", "name", ["block"], 85.0)
 
 
@@ -105,10 +105,14 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("j13_fuzzy_titles")
 def _(t: Tables) -> DataFrame:
-    block = lambda c: F.array_join(F.slice(F.split(F.lower(F.regexp_replace(c, "[^A-Za-z ]", "")), " "), 2, 2), " ")
-    left = t.grant_orphaned_abstracts.select(F.col("id").alias("key"), F.lower("title").alias("name"), block(F.col("title")).alias("block"))
-    right = t.grants.select(F.lower("grantname").alias("name"), block(F.col("grantname")).alias("block"))
-    return op.best_fuzzy(left, right, "key", "name", ["block"], 90.0, "min")
+    left = t.grant_orphaned_abstracts.select(F.col("id").alias("key"), F.lower("title").alias("a"), F.year("start_date").alias("year")).distinct()
+    right = t.grants.select("grant_id", F.lower("grantname").alias("b"), F.col("startdateyear").cast("int").alias("other")).distinct()
+    pairs = op.near_names(left.select(F.col("a").alias("name")), right.select(F.col("b").alias("name")), "name", 75.0, slack=5.0)  # the penalty is the most that can turn the order of two titles
+    penalty = F.when(F.col("year") != F.col("other"), 5.0).otherwise(0.0)
+    scored = left.join(pairs, "a").join(right, "b").withColumn("score", F.col("score") - penalty).where("score >= 75")
+    best = scored.groupBy("key").agg(F.min_by(F.struct("grant_id", F.col("b").alias("match"), "score"), F.struct((-F.col("score")).alias("s"), "b", "grant_id")).alias("m")).select("key", "m.*")
+    claims = op.claim_once(best.where("score >= 90").withColumn("tie", F.xxhash64("key")), "grant_id", "score", "tie").select(*best.columns, F.when(F.col("wins"), "match").otherwise("claimed").alias("status"))
+    return claims.unionByName(best.where("score < 90").withColumn("status", F.lit("near")))
 
 
 @R.add("j14_exact_normalized_id", "SELECT doc_id, id FROM extra_neu_abstracts JOIN (SELECT DISTINCT id FROM grant_orphaned_abstracts WHERE abstract IS NOT NULL AND trim(abstract) <> '') ON regexp_replace(regexp_replace(lower(doc_id), '[^0-9]', '', 'g'), '^0+', '') = id")

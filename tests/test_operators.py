@@ -160,3 +160,14 @@ def test_checks(spark):
     require(invariant("same", one, one))
     with pytest.raises(AssertionError):
         require(invariant("other", one, spark.range(2).agg(F.count(F.lit(1)))))
+
+
+def test_near_names_equals_all_pairs(spark):
+    a = ["career: soil respiration in remote orchards", "soil  respiration in remote orchards", "coral bleaching", "thin films and spikes", None, "", "soil resp"]
+    b = ["soil respiration in remote orchards", "rui: coral bleaching", "coral bleachng", "thin films and spike", None, "", "jury decisions"]
+    both = [(x, y, min(resolve._indel(x, y), resolve.token_set(x, y))) for x in a for y in b if x and y]
+    want = sorted((x, y) for x, y, s in both if s >= 80)
+    left, right = (spark.createDataFrame([(x,) for x in n], "name string") for n in (a, b))
+    for block in (2, 4096):
+        assert sorted((r["a"], r["b"]) for r in resolve.near_names(left, right, "name", 80.0, block).collect()) == want
+    assert ("soil  respiration in remote orchards", "soil respiration in remote orchards") in want and len(want) > 3
