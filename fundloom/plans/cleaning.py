@@ -348,7 +348,7 @@ _STOPS = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
 FROM (SELECT x[i] AS a, x[i + 1] AS b FROM (SELECT {_TOK.format('grantname')} AS x FROM grants), range(1, 60) r(i) WHERE i < len(x))""",
 )
 def _(t: Tables) -> DataFrame:
-    pairs = t.grants.select(F.explode(text.ngrams(F.slice(text.tokens(F.col("grantname")), 1, 60), 2, 2)).alias("g")).select(F.split("g", " ").alias("w"))
+    pairs = t.grants.select(F.explode(text.ngrams(text.tokens(F.col("grantname")), 2, 2)).alias("g")).select(F.split("g", " ").alias("w"))
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(text.stopwords_only(F.col("w"), text.STOPWORDS)).alias("stop_only"), F.count_if(text.boundary_stop(F.col("w"), text.STOPWORDS)).alias("polluted"))
 
 
