@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fundloom.llm.abuse import ABUSIVE, score_abuse, train
+from fundloom.llm.abuse import ABUSIVE, plain_texts, score_abuse, train
 from fundloom.session import load, spread
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and evidence of every document."""
-    docs = spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return score_abuse(docs, "doc_id", "text", train(docs, "doc_id", "text", load(spark, sf_dir, "doc_labels"), "abusive"), ("source",))
+    docs = plain_texts(spread(load(spark, sf_dir, "documents").select("doc_id", "source", "text")), "doc_id", "text", ("source",))
+    return score_abuse(docs, "doc_id", train(docs, "doc_id", load(spark, sf_dir, "doc_labels"), "abusive"), ("source",))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
