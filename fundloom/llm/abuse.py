@@ -34,8 +34,8 @@ from fundloom.session import materialize
 MAX_LABELLED, WINDOW, STEP, NEAREST, SETTLING, FLOOR, BLOCK, NOBODY = 10_000, 12, 6, 7, 28, 0.3, 64, 0.02
 #: Rounds of settling; start values of the log odds of an abusive window and of verdicts turned round (calm, abusive), and their range.
 ROUNDS, PRIOR, TURNED, TURNED_RANGE = 40, -2.0, (0.03, 0.05), (0.02, 0.05)
-#: Score from which a document counts as abusive; most postings opened at once; sentences remembered by a task.
-ABUSIVE, AT_ONCE, REMEMBERED = 0.5, 2_000_000, 200_000
+#: Score from which a document counts as abusive; most postings opened, and examples settled, at once; sentences remembered by a task.
+ABUSIVE, AT_ONCE, SETTLED_AT_ONCE, REMEMBERED = 0.5, 1_000_000, 4096, 50_000
 
 _SPLIT = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；｡])|\n+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W\d_])")
@@ -281,22 +281,28 @@ class Judge:
 def settle(n: int, doc: np.ndarray, held: np.ndarray, example: np.ndarray, near: np.ndarray, cos: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Probability of each of n examples that it is abusive.
 
-    doc, held: documents and the examples they hold; example, near, cos: neighbours of examples
-    (other than itself); label: verdicts of the documents. Each example is told by the documents that hold it or, with
+    doc, held: documents and the examples they hold; example (in order), near, cos: neighbours of
+    examples (other than itself); label: verdicts of the documents. Each example is told by the documents that hold it or, with
     a weight of the squared cosine, a neighbour, each document by its nearest one.
     """
     at = np.argsort(held, kind="stable")
-    doc, held = doc[at], held[at]
-    start = np.searchsorted(held, np.arange(n + 1))
-    pos, by = _ranges(start[near], start[near + 1])
-    one = np.concatenate([held, example[by]])
-    other = np.concatenate([held, near[by]])
-    whose = np.concatenate([doc, doc[pos]])
-    weight = np.concatenate([np.ones(len(held)), cos[by].astype(np.float64) ** 2])
-    order = np.lexsort((other, -weight, whose, one))
-    one, other, whose, weight = one[order], other[order], whose[order], weight[order]
-    new = np.concatenate([[True], (np.diff(one) != 0) | (np.diff(whose) != 0)]) if len(one) else np.zeros(0, bool)
-    one, other, whose, weight = one[new], other[new], whose[new], weight[new]
+    doc, held = doc[at].astype(np.int32), held[at].astype(np.int32)
+    start, of = np.searchsorted(held, np.arange(n + 1)), np.searchsorted(example, np.arange(n + 1))
+    parts = []
+    for a in range(0, n, SETTLED_AT_ONCE):  # what tells each example: documents, the nearest example in each, its weight
+        b = min(n, a + SETTLED_AT_ONCE)
+        some = slice(of[a], of[b])
+        pos, by = _ranges(start[near[some]], start[near[some] + 1])
+        own = slice(start[a], start[b])
+        one = np.concatenate([held[own], example[some][by].astype(np.int32)])
+        other = np.concatenate([held[own], near[some][by].astype(np.int32)])
+        whose = np.concatenate([doc[own], doc[pos]])
+        weight = np.concatenate([np.ones(len(held[own]), np.float32), cos[some][by].astype(np.float32) ** 2])
+        order = np.lexsort((other, -weight, whose, one))
+        new = np.concatenate([[True], (np.diff(one[order]) != 0) | (np.diff(whose[order]) != 0)])
+        parts.append([x[order][new] for x in (one, other, whose, weight)])
+    one, other, whose, weight = (np.concatenate(x) for x in zip(*parts))
+    del parts
     bad = label[whose] > 0
     prior, (calm_turned, bad_turned) = PRIOR, TURNED
     y = np.full(n, 1 / (1 + np.exp(-prior)))
@@ -341,6 +347,8 @@ def train(docs: DataFrame, key: str, labels: DataFrame, label: str, max_labelled
         return None
     texts = sorted(rows)  # like ones share a block
     owner = [sorted(rows[t]) for t in texts]
+    label_of = known[label].to_numpy(np.float64)
+    del rows, known
     vocabulary = Vocabulary.build(texts)
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the sample
 
@@ -358,7 +366,7 @@ def train(docs: DataFrame, key: str, labels: DataFrame, label: str, max_labelled
 
     df = docs.select("_plain").mapInPandas(frequencies, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(len(vocabulary) + 1)
-    n[df["i"]] = df["n"]  # -1, the last, holds the number of documents
+    n[df["i"].to_numpy()] = df["n"]  # -1, the last, holds the number of documents
     idf = np.log((n[-1] + 1) / (n[:-1] + 0.5)).clip(0.05)
     index = Index.build(texts, vocabulary, idf)
     at = spark.sparkContext.broadcast(index)
@@ -374,11 +382,11 @@ def train(docs: DataFrame, key: str, labels: DataFrame, label: str, max_labelled
 
     asked = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(texts)), "w": texts})).repartition(2 * spark.sparkContext.defaultParallelism)
     got = asked.mapInPandas(neighbours, "i bigint, near bigint, cos float").toPandas().sort_values(["i", "cos", "near"], ascending=[True, False, True], kind="stable")  # bounded by the sample
-    i, near, cos = (got[c].to_numpy() for c in ("i", "near", "cos"))
+    i, near, cos = got["i"].to_numpy(np.int32), got["near"].to_numpy(np.int32), got["cos"].to_numpy(np.float32)
+    del got
     # windows of the same document share its subject, so only those that other documents hold have a say
     keep = np.array([a != b and not set(owner[a]).issuperset(owner[b]) for a, b in zip(i, near)], dtype=bool)
     i, near, cos = i[keep], near[keep], cos[keep]
-    label_of = known[label].to_numpy(np.float64)
     held = np.repeat(np.arange(len(texts)), [len(o) for o in owner])
     doc = np.array([d for o in owner for d in o], dtype=np.int64)
     verdict = settle(len(texts), doc, held, i, near, cos, label_of)
@@ -389,7 +397,7 @@ def train(docs: DataFrame, key: str, labels: DataFrame, label: str, max_labelled
     i, near, cos = i[order], near[order], cos[order]
     rank = np.arange(len(i)) - np.searchsorted(i, np.arange(len(texts)))[i]
     i, near, cos = i[rank < NEAREST], near[rank < NEAREST], cos[rank < NEAREST]
-    votes = np.zeros(len(known))
+    votes = np.zeros(len(label_of))
     np.maximum.at(votes, doc, weighted(len(texts), i, cos, verdict[near])[held])
     slope, offset = _calibrate(votes, label_of)
     bad = np.flatnonzero(verdict >= 0.5)

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundloom.llm.fusion import cut_off, fuse, text_key
-from fundloom.llm.residue import find_residue
+from fundloom.llm.residue import find_residue, natural_counts
 from fundloom.session import load, materialize, spread
 
 #: Trust of the sources of an abstract, by the meaning of their spelling.
 TIERS = {"internal": 4, "orphan_recovered": 3, "nih_reporter": 2, "nsf_api": 2, "nih_reporter_parent": 1}
+#: Log odds of a tier and of a microsecond: any difference of dates goes before all votes (at most 500 either way), any of tiers before all dates.
+TRUST, RECENCY = 1_000_000_000_000_000_000_000, 1_001
 
 
 def source_name(c: Column) -> Column:
@@ -29,15 +31,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_residue(spark, sf_dir).select("record_id", "field").distinct()
 
 
-def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = load(spark, sf_dir, "grants").select("grant_id", "record_id", "abstract", "abstract_source", "updateddate")
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a usable abstract, of grants of several rows: no residue, and not the beginning of another row's abstract."""
+    g = load(spark, sf_dir, "grants")
     several = g.where(F.col("grant_id").isNotNull()).groupBy("grant_id").count().where("count > 1").select("grant_id")
-    residue = find_residue(spread(load(spark, sf_dir, "grants").select("record_id", "abstract")), "record_id", [], ["abstract"]).select("record_id").distinct()
-    rows = g.join(several, "grant_id", "left_semi").withColumn("value", text_key(F.col("abstract"))).where(F.col("value").isNotNull())
-    rows = materialize(rows.join(residue, "record_id", "left_anti"), "usable")
-    rows = rows.join(cut_off(rows, "grant_id", "record_id", "value").distinct(), "record_id", "left_anti").withColumn("source", source_name(F.col("abstract_source")))
+    rows = g.select("grant_id", "record_id", "abstract", "abstract_source", "updateddate").join(several, "grant_id", "left_semi").where(F.col("abstract").isNotNull())
+    rows = materialize(rows.withColumn("value", text_key(F.col("abstract"))).where(F.col("value").isNotNull()), "texts")
+    # the same models as of problem 3, but only these abstracts are judged
+    residue = find_residue(spread(rows.select("record_id", "abstract")), "record_id", [], ["abstract"], natural_counts(spread(g.select("grantname", "abstract")), ["grantname"], ["abstract"])).select("record_id")
+    gone = residue.unionByName(cut_off(rows, "grant_id", "record_id", "value")).distinct()
+    return rows.join(gone, "record_id", "left_anti").withColumn("source", source_name(F.col("abstract_source")))
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tier = F.coalesce(*[F.when(F.col("source") == s, t) for s, t in TIERS.items()], F.lit(0))
-    return fuse(rows, "grant_id", "record_id", "source", "value", [tier, F.col("updateddate")])
+    updated = F.unix_micros(F.concat(F.col("updateddate").cast("string"), F.lit("Z")).cast("timestamp"))  # without zone, whatever the session's is
+    return fuse(_usable(spark, sf_dir), "grant_id", "record_id", "source", "value", [(tier, TRUST), (F.coalesce(updated, F.lit(-(10**17))), RECENCY)])
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +61,10 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(pair, "record_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p3_found": p3_found, "p3_residue": p3_residue}
+def p1_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of each such grant that the sources' votes alone would keep."""
+    return fuse(_usable(spark, sf_dir), "grant_id", "record_id", "source", "value", [])
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_votes": p1_votes, "p3_found": p3_found, "p3_residue": p3_residue}
 SQL: dict[str, str] = {}

@@ -199,13 +199,13 @@ def score(parts: list[str], tables: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"segment": parts, "score": total, "cover": cover, "mark": mark, "residue": residue, "begin": begin - starts, "end": end - starts})
 
 
-def find_residue(df: DataFrame, key: str, titles: list[str], texts: list[str]) -> DataFrame:
+def find_residue(df: DataFrame, key: str, titles: list[str], texts: list[str], natural: DataFrame | None = None) -> DataFrame:
     """Each field of each row with residue: key, field, windows, covered (share of the field), score, evidence.
 
-    Null, blank and markup-only fields have no row; a repeated row comes out as often as it stands
+    natural: natural_counts() of a larger corpus, if df is only a part of it. Null, blank and markup-only fields have no row; a repeated row comes out as often as it stands
     in the input; without rows there is no result. Texts of any length are read whole.
     """
-    counts = natural_counts(df, titles, texts).toPandas()  # at most one row for each bucket of the hashed tables
+    counts = (natural_counts(df, titles, texts) if natural is None else natural).toPandas()  # at most one row for each bucket of the hashed tables
     tables = df.sparkSession.sparkContext.broadcast(ratios(counts))
     fields = titles + texts
 
