@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -249,58 +251,69 @@ def _(t: Tables) -> DataFrame:
 
 # ---- text ----
 
-_ENT = "abstract"
-for _a, _b in text.ENTITIES.items():
-    _ENT = f"replace({_ENT}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
-_MARK = _ENT
-for _p in ("(?i)andlt\\b.{0,14}?andgt\\b", "&[a-zA-Z#0-9]+;", "<[^>]{0,40}>", "(?i)\\b(?:andlt|andgt|andamp|lt|gt|amp)\\b"):
-    _MARK = f"regexp_replace({_MARK}, '{_p}', ' ', 'g')"
+# all named entities, from the table of the standard library: those that end in ; and the old ones that may go without
+_NAMED = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in sorted(html5.items())) + "}"
+_OLD = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+_DIGITS = "CASE WHEN e[2] IN ('x', 'X') THEN CAST(concat('0x', regexp_extract(e, '[0-9a-fA-F]+', 0)) AS INT) ELSE CAST(regexp_extract(e, '[0-9]+', 0) AS INT) END"
+
+
+def _ent(c: str) -> str:
+    """SQL: column c with its entities put back; each piece behind an ampersand begins with one or doesn't."""
+    name = f"coalesce(nullif(regexp_extract(p, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?)', 1), ''), CASE WHEN m[regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;', 0)] IS NOT NULL THEN regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;', 0) END, nullif(regexp_extract(p, '^(?:{_OLD})', 0), ''))"
+    value = f"CASE WHEN e[1] = '#' THEN chr({_DIGITS.replace('[0-9a-fA-F]+', '[0-9a-fA-F]+')}) ELSE m[e] END"
+    piece = f"list_transform([{name}], lambda e: CASE WHEN e IS NULL THEN concat('&', p) ELSE concat({value}, substr(p, length(e) + 1)) END)[1]"
+    return f"array_to_string(list_transform(string_split({c}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {piece} END), '')"
+
+
+def _sub(sql: str, *noise: str) -> str:
+    """SQL: without() of the named kinds of noise."""
+    for kind in noise:
+        sql = f"regexp_replace({sql}, '{text.NOISE[kind].replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+    return sql
+
+
+_ENTS = f"(SELECT {_NAMED} AS m)"
+_GRANTS = f"(SELECT record_id, abstract IS NOT NULL AS has_text, {_ent('grantname')} AS name, {_ent('abstract')} AS abstract FROM grants, {_ENTS})"
 _BLANKS = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
-@R.add("text_x1_markup_stripped", f"SELECT record_id, {_BLANKS.format(_MARK)} AS plain FROM grants WHERE abstract IS NOT NULL")
+@R.add("text_x1_markup_stripped", f"SELECT record_id, {_BLANKS.format(_sub('abstract', *text.MARKUP))} AS plain FROM {_GRANTS} WHERE has_text")
 def _(t: Tables) -> DataFrame:
     return t.grants.where("abstract IS NOT NULL").select("record_id", text.single_blanks(text.strip_markup(F.col("abstract"))).alias("plain"))
 
 
-@R.add("text_x1_unescaped")
+@R.add("text_x1_unescaped", f"SELECT record_id, abstract AS plain FROM {_GRANTS}")
 def _(t: Tables) -> DataFrame:
     return t.grants.select("record_id", text.unescape(F.col("abstract")).alias("plain"))
 
 
-_PREFIX = "|".join(sorted((p.replace("-", "\\-") for p in text.PROGRAMS), key=len, reverse=True))
-_TITLE = "coalesce(" + _BLANKS.format("regexp_replace(" + _MARK.replace("abstract", "grantname") + f", '(?i)^(?:\\s*[\\[(]?\\s*(?:{_PREFIX})\\s*[\\])]?\\s*[:\\-–—]\\s*)+', '')") + ", '')"
+_TITLE = "coalesce(" + _BLANKS.format("regexp_replace(" + _sub("name", *text.MARKUP) + f", '{text.program_pattern()}', '')") + ", '')"
 
 
-@R.add("text_x2_title_clean", f"SELECT record_id, {_TITLE} AS title FROM grants")
+@R.add("text_x2_title_clean", f"SELECT record_id, {_TITLE} AS title FROM {_GRANTS}")
 def _(t: Tables) -> DataFrame:
     return t.grants.select("record_id", text.clean_title(F.col("grantname")).alias("title"))
 
 
-_ABS = f"regexp_replace({_MARK}, '^\\s*[0-9]{{5,8}}\\b[\\s,]*(?:[A-Z][A-Za-z.\\-'']+,\\s*[A-Z][A-Za-z.\\-'']+\\s+)?', '')"
-for _p in ("(?is)this award reflects nsf''?s statutory mission.*?criteria\\.?", "(?i)\\bIntellectual[ _]Merit\\b\\s*[:.\\-]?", "(?i)\\bBroader[ _]Impacts?\\b\\s*[:.\\-]?", "(?i)\\bThe (?:intellectual merit|broader impacts?) of (?:this|the) (?:project|proposal|award|research)\\b"):
-    _ABS = f"regexp_replace({_ABS}, '{_p}', ' ', 'g')"
-_ABS = f"coalesce({_BLANKS.format(_ABS)}, '')"
+_ABS = "regexp_replace({}, '{}', '')".format(_sub("abstract", *text.MARKUP), text.NOISE["number and name"].replace("'", "''"))
+_ABS = f"coalesce({_BLANKS.format(_sub(_ABS, *text.REVIEW))}, '')"
 
 
-@R.add("text_x3_abstract_clean", f"SELECT record_id, {_ABS} AS abstract FROM grants")
+@R.add("text_x3_abstract_clean", f"SELECT record_id, {_ABS} AS abstract FROM {_GRANTS}")
 def _(t: Tables) -> DataFrame:
     return t.grants.select("record_id", text.clean_abstract(F.col("abstract")).alias("abstract"))
 
 
-@R.add("text_x4_document", f"SELECT record_id, CASE WHEN a = '' THEN t ELSE concat(t, ' [SEP] ', a) END AS doc FROM (SELECT record_id, {_TITLE} AS t, {_ABS} AS a FROM grants)")
+@R.add("text_x4_document", f"SELECT record_id, CASE WHEN a = '' THEN t ELSE concat(t, ' [SEP] ', a) END AS doc FROM (SELECT record_id, {_TITLE} AS t, {_ABS} AS a FROM {_GRANTS})")
 def _(t: Tables) -> DataFrame:
     title, body = text.clean_title(F.col("grantname")), text.clean_abstract(F.col("abstract"))
     return t.grants.select("record_id", F.when(body == "", title).otherwise(F.concat(title, F.lit(" [SEP] "), body)).alias("doc"))
 
 
-_LDA = f"regexp_replace({_ENT}, '(?is)this award reflects nsf''?s statutory mission.*?criteria\\.?', ' ', 'g')"
-for _p in ("<[^>]{0,40}>", "&[a-zA-Z#0-9]+;", "[^a-zA-Z\\s]", "(?i)\\b(?:andlt|andgt|andamp|lt|gt|amp)\\b"):
-    _LDA = f"regexp_replace({_LDA}, '{_p}', ' ', 'g')"
-_LDA = f"lower({_BLANKS.format(_LDA)})"
+_LDA = f"lower({_BLANKS.format(_sub('abstract', *text.BAG))})"
 
 
-@R.add("text_x5_letters_only", f"SELECT record_id, {_LDA} AS bag FROM grants")
+@R.add("text_x5_letters_only", f"SELECT record_id, {_LDA} AS bag FROM {_GRANTS}")
 def _(t: Tables) -> DataFrame:
     return t.grants.select("record_id", text.letters_only(F.col("abstract")).alias("bag"))
 
@@ -345,19 +358,19 @@ _STOPS = "(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + ")"
 @R.add(
     "text_x11_stopword_policies",
     f"""SELECT count(*) AS n, count(*) FILTER (a IN {_STOPS} AND b IN {_STOPS}) AS stop_only, count(*) FILTER (a IN {_STOPS} OR b IN {_STOPS} OR a = 's' OR b = 's') AS polluted
-FROM (SELECT x[i] AS a, x[i + 1] AS b FROM (SELECT {_TOK.format('grantname')} AS x FROM grants), range(1, 60) r(i) WHERE i < len(x))""",
+FROM (SELECT x[i] AS a, x[i + 1] AS b FROM (SELECT {_TOK.format('grantname')} AS x FROM grants), range(1, (SELECT max(length(grantname)) + 1 FROM grants)) r(i) WHERE i < len(x))""",
 )
 def _(t: Tables) -> DataFrame:
     pairs = t.grants.select(F.explode(text.ngrams(text.tokens(F.col("grantname")), 2, 2)).alias("g")).select(F.split("g", " ").alias("w"))
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(text.stopwords_only(F.col("w"), text.STOPWORDS)).alias("stop_only"), F.count_if(text.boundary_stop(F.col("w"), text.STOPWORDS)).alias("polluted"))
 
 
-@R.add("text_x12_ngrams", f"SELECT g, count(*) AS n FROM (SELECT array_to_string(x[i:i + k - 1], ' ') AS g FROM (SELECT {_TOK.format('title')} AS x FROM grant_orphaned_abstracts), range(1, 60) r(i), range(1, 4) q(k) WHERE i + k - 1 <= len(x)) GROUP BY g")
+@R.add("text_x12_ngrams", f"SELECT g, count(*) AS n FROM (SELECT array_to_string(x[i:i + k - 1], ' ') AS g FROM (SELECT {_TOK.format('title')} AS x FROM grant_orphaned_abstracts), range(1, (SELECT max(length(title)) + 1 FROM grant_orphaned_abstracts)) r(i), range(1, 4) q(k) WHERE i + k - 1 <= len(x)) GROUP BY g")
 def _(t: Tables) -> DataFrame:
     return t.grant_orphaned_abstracts.select(F.explode(text.ngrams(text.tokens(F.col("title")), 1, 3)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("text_x13_highlighted")
+@R.add("text_x13_highlighted", "SELECT record_id, regexp_replace(grantname, '(?i)(sensor networks|networks|cell)', '**\\1**', 'g') AS marked FROM grants")
 def _(t: Tables) -> DataFrame:
     return t.grants.select("record_id", text.highlight(F.col("grantname"), ["networks", "sensor networks", "cell"]).alias("marked"))
 
