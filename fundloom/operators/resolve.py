@@ -191,11 +191,14 @@ def near_names(left: DataFrame, right: DataFrame, name: str, least: float, block
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
-    """A sampling operator: about n rows, each stratum in proportion and at least once, in the order of a seeded hash."""
+    """A sampling operator: about n rows, each stratum in proportion and at least once, in the order of a seeded hash.
+
+    No stratum gives more than n rows, so each task passes on at most the first n of a stratum, however large it is.
+    """
     order = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))
     stratum = F.xxhash64(*strata)
     sizes = df.groupBy(stratum.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_t"))
     quota = sizes.join(F.broadcast(total), F.lit(True)).select("_s", F.greatest(F.lit(1), F.bround(F.col("_n") / F.col("_t") * n)).cast("int").alias("_q"))
     w = Window.partitionBy("_s").orderBy(order, key)
-    return df.withColumn("_s", stratum).withColumn("_i", F.row_number().over(w)).join(quota, "_s").where("_i <= _q").select(*df.columns)
+    return df.withColumn("_s", stratum).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= max(1, n)).join(quota, "_s").where("_i <= _q").select(*df.columns)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundloom.session import materialize
+
 
 def one() -> Column:
     return F.count(F.lit(1))
@@ -26,10 +28,11 @@ def value_steps(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with their number, and numbers and sums below each (n, v, below_n, below_sum).
 
     Ranks of all rows follow from the distinct values, which a partial aggregation makes first;
-    the values are ranked within range partitions, whose totals alone meet in one place.
+    the values are ranked within range partitions, whose totals alone meet in one place. The number
+    of each value's partition is written down, lest it change between the two reads.
     """
     steps = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(one().alias("n"))
-    steps = steps.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
+    steps = materialize(steps.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v").withColumn("_p", F.spark_partition_id()), "steps")
     part = steps.groupBy("_p").agg(F.sum("n").alias("pn"), F.sum(F.col("n") * F.col("v")).alias("ps"))
     before = Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     part = part.select("_p", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("pn"), F.coalesce(F.sum("ps").over(before), F.lit(0.0)).alias("ps"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -55,12 +56,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir), or a folder of our own where that is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset and the session is local.
+
+    On a cluster without the setting this raises, since executors can't read each other's folders.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="fundloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
@@ -72,10 +78,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     Cuts the lineage like checkpoint(), but computes `df` once, keeps it columnar and lets later
     reads prune columns. Survives the loss of executors, since the files lie in the shared folder.
+    The folder of the application is deleted when its driver ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/fundloom/{tag}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    home = f"{shared_dir(spark)}/fundloom/{spark.sparkContext.applicationId}"
+    path = f"{home}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
