@@ -35,7 +35,7 @@ MAX_LABELLED, WINDOW, STEP, NEAREST, SETTLING, FLOOR, BLOCK, NOBODY = 10_000, 12
 #: Rounds of settling; start values of the log odds of an abusive window and of verdicts turned round (calm, abusive), and their range.
 ROUNDS, PRIOR, TURNED, TURNED_RANGE = 40, -2.0, (0.03, 0.05), (0.02, 0.05)
 #: Score from which a document counts as abusive; most postings opened, and examples settled, at once; sentences remembered by a task.
-ABUSIVE, AT_ONCE, SETTLED_AT_ONCE, REMEMBERED = 0.5, 1_000_000, 4096, 50_000
+ABUSIVE, AT_ONCE, SETTLED_AT_ONCE, REMEMBERED = 0.5, 500_000, 2048, 50_000
 
 _SPLIT = re.compile(r"(?<=[.!?;])\s+|(?<=[。！？；｡])|\n+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W\d_])")
@@ -303,16 +303,18 @@ def settle(n: int, doc: np.ndarray, held: np.ndarray, example: np.ndarray, near:
         parts.append([x[order][new] for x in (one, other, whose, weight)])
     one, other, whose, weight = (np.concatenate(x) for x in zip(*parts))
     del parts
-    bad = label[whose] > 0
     prior, (calm_turned, bad_turned) = PRIOR, TURNED
     y = np.full(n, 1 / (1 + np.exp(-prior)))
     for step in range(ROUNDS):
         rest = np.log1p(-np.minimum(y, 1 - 1e-6))
         calm = np.bincount(doc, weights=rest[held], minlength=len(label))  # log probability that no window is abusive
-        others = 1 - np.exp(np.minimum(calm[whose] - rest[other], 0.0))
-        said = calm_turned + (1 - calm_turned - bad_turned) * others
-        llr = np.where(bad, np.log((1 - bad_turned) / said), np.log(bad_turned / (1 - said)))
-        z = prior + np.bincount(one, weights=weight * llr, minlength=n)
+        z = np.full(n, prior)
+        for a in range(0, len(one), AT_ONCE):
+            e = slice(a, a + AT_ONCE)
+            others = 1 - np.exp(np.minimum(calm[whose[e]] - rest[other[e]], 0.0))
+            said = calm_turned + (1 - calm_turned - bad_turned) * others
+            llr = np.log(np.where(label[whose[e]] > 0, (1 - bad_turned) / said, bad_turned / (1 - said)))
+            z += np.bincount(one[e], weights=weight[e] * llr, minlength=n)
         y = 0.5 * y + 0.5 / (1 + np.exp(-np.clip(z, -30, 30)))
         if step >= 10:  # the rates of wrong verdicts follow from what the windows explain
             some = 1 - np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(y, 1 - 1e-6))[held], minlength=len(label)))
@@ -378,17 +380,21 @@ def train(docs: DataFrame, key: str, labels: DataFrame, label: str, max_labelled
             for a in range(0, len(pdf), 512):
                 own = list(pdf["w"][a : a + 512])
                 who, near, cos = ix.nearest(len(own), *ix.queries(own), SETTLING)
-                yield pd.DataFrame({"i": i[a + who], "near": near, "cos": cos})
+                yield pd.DataFrame({"i": i[a + who], "near": near.astype(np.int32), "cos": cos})
 
-    asked = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(texts)), "w": texts})).repartition(2 * spark.sparkContext.defaultParallelism)
-    got = asked.mapInPandas(neighbours, "i bigint, near bigint, cos float").toPandas().sort_values(["i", "cos", "near"], ascending=[True, False, True], kind="stable")  # bounded by the sample
-    i, near, cos = got["i"].to_numpy(np.int32), got["near"].to_numpy(np.int32), got["cos"].to_numpy(np.float32)
-    del got
+    asked = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(texts), dtype=np.int32), "w": texts})).repartition(2 * spark.sparkContext.defaultParallelism)
+    got = asked.mapInPandas(neighbours, "i int, near int, cos float").toArrow()  # bounded by the sample
+    i, near, cos = (got[c].to_numpy() for c in ("i", "near", "cos"))
+    del got, asked
+    order = np.lexsort((near, -cos, i))
+    i, near, cos = i[order], near[order], cos[order]
     # windows of the same document share its subject, so only those that other documents hold have a say
     keep = np.array([a != b and not set(owner[a]).issuperset(owner[b]) for a, b in zip(i, near)], dtype=bool)
     i, near, cos = i[keep], near[keep], cos[keep]
     held = np.repeat(np.arange(len(texts)), [len(o) for o in owner])
     doc = np.array([d for o in owner for d in o], dtype=np.int64)
+    shared.destroy()
+    at.destroy()
     verdict = settle(len(texts), doc, held, i, near, cos, label_of)
     # to another document an example itself is a neighbour
     several = np.flatnonzero([len(o) > 1 for o in owner])
