@@ -21,15 +21,24 @@ from fundloom.session import materialize, workers
 
 #: Uses up to which a token may be a misspelling of any neighbour; beyond, how many times more used the neighbour must be.
 RARE, COMMON = 2, 3
-
-# Short and pet forms of given names.
-NICKNAMES = """
-abby abigail|alex alexandra|lexi alexandra|sasha alexandra|sandra alexandra|nastya anastasia|stacy anastasia|ana anastasia|trixie beatrix|bea beatrix|ben benedict|benny benedict|cami camila|mila camila|charlie charlotte|lottie charlotte
-deb deborah|debbie deborah|debby deborah|dima dmitri|mitya dmitri|ed edward|eddie edward|ted edward|ned edward|ellie eleanor|nora eleanor|nell eleanor|liz elizabeth|beth elizabeth|betty elizabeth|eliza elizabeth|lisa elizabeth|fran francesca|frannie francesca|chesca francesca
-fred frederick|freddie frederick|freddy frederick|gabe gabriel|greg gregory|gregg gregory|vanya ivan|jon jonathan|johnny jonathan|nathan jonathan|joe joseph|joey joseph|kate katherine|kathy katherine|katie katherine|kat katherine|kitty katherine|len leonard|lenny leonard|leo leonard
-maggie margaret|meg margaret|peggy margaret|marge margaret|mike michael|mick michael|mickey michael|nat natalia|natasha natalia|talia natalia|nick nicholas|nicky nicholas|nico nicholas|pat patrick|paddy patrick|rick richard|dick richard|rich richard|richie richard|rob robert|bob robert|bobby robert|robbie robert|bert robert
-sue susan|susie susan|suzy susan|teo teodoro|theo theodora|dora theodora|thea theodora|tom thomas|tommy thomas|vicky victoria|vicki victoria|tori victoria|vince vincent|vinny vincent|bill william|will william|billy william|willy william|liam william|winnie winifred|fred frederick|rafa rafael|rafi rafael|raf rafael|xio xiomara|zoli zoltan|uli ulrike|ulli ulrike|hank henry|harry henry|jim james|jimmy james|jack john|tony anthony|chris christopher|dan daniel|dave david|steve stephen|sam samuel|matt matthew|andy andrew|larry lawrence|jerry gerald|ken kenneth|tim timothy|jenny jennifer|jen jennifer|becky rebecca|cathy catherine|kim kimberly|barb barbara|patty patricia|trish patricia|pam pamela|cindy cynthia|mandy amanda|val valerie|gail abigail|lakshmi lakshmi|olu olumide|oz oscar|ozzie oscar|quent quentin|quin quentin|ingie ingrid|inga ingrid|simmy simone|yus yusuf|zai zainab
-""".strip()
+#: Distinct tokens for which one more shard is made.
+WORDS = 10_000
+
+# Given names with their usual short and pet forms.
+NICKNAMES = {
+    "abigail": "abby gail", "alexandra": "alex lexi sandra sasha", "amanda": "mandy", "anastasia": "ana nastya stacy", "andrew": "andy", "anthony": "tony", "barbara": "barb",
+    "beatrix": "bea trixie", "benedict": "ben benny", "camila": "cami mila", "catherine": "cathy", "charlotte": "charlie lottie", "christopher": "chris", "cynthia": "cindy",
+    "daniel": "dan", "david": "dave", "deborah": "deb debbie debby", "dmitri": "dima mitya", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora",
+    "elizabeth": "beth betty eliza lisa liz", "francesca": "chesca fran frannie", "frederick": "fred freddie freddy", "gabriel": "gabe", "gerald": "jerry",
+    "gregory": "greg gregg", "henry": "hank harry", "ingrid": "inga ingie", "ivan": "vanya", "james": "jim jimmy", "jennifer": "jen jenny", "john": "jack",
+    "jonathan": "johnny jon nathan", "joseph": "joe joey", "katherine": "kat kate kathy katie kitty", "kenneth": "ken", "kimberly": "kim", "lawrence": "larry",
+    "leonard": "len lenny leo", "margaret": "maggie marge meg peggy", "matthew": "matt", "michael": "mick mickey mike", "natalia": "nat natasha talia",
+    "nicholas": "nick nicky nico", "olumide": "olu", "oscar": "oz ozzie", "pamela": "pam", "patricia": "patty trish", "patrick": "paddy pat", "quentin": "quent quin",
+    "rafael": "raf rafa rafi", "rebecca": "becky", "richard": "dick rich richie rick", "robert": "bert bob bobby rob robbie", "samuel": "sam", "simone": "simmy",
+    "stephen": "steve", "susan": "sue susie suzy", "teodoro": "teo", "theodora": "dora thea theo", "thomas": "tom tommy", "timothy": "tim", "ulrike": "uli ulli",
+    "valerie": "val", "victoria": "tori vicki vicky", "vincent": "vince vinny", "william": "bill billy liam will willy", "winifred": "winnie", "xiomara": "xio", "yusuf": "yus",
+    "zainab": "zai", "zoltan": "zoli",
+}
 # Degrees, titles, suffixes and remarks around names.
 NOISE = frozenset("dr prof professor mr mrs ms md phd ph.d dphil edd jd mph msc mba rn jr sr ii iii iv esq pi copi co-pi former emeritus emerita retired deceased visiting ret".split())
 _EMAIL = re.compile(r"\S+@\S+")
@@ -125,7 +134,7 @@ def near_tokens(tokens: DataFrame, least: int = 3) -> DataFrame:
     for shorter in (n - 1, n):
         p = F.floor((shorter - 1) / 2).cast("int")
         parts += [F.concat(F.lit("p"), shorter.cast("string"), F.substring("token", F.lit(1), p)), F.concat(F.lit("s"), shorter.cast("string"), F.call_function("right", F.col("token"), shorter - 1 - p))]
-    shards = workers(tokens.sparkSession) * 4
+    shards = max(workers(tokens.sparkSession), tokens.count() // WORDS)
     sharded = tokens.where(n >= least).select("token", F.explode(F.array(*parts)).alias("part")).withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards)).cast("int"))
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +170,7 @@ def link_names(names: DataFrame, column: str) -> DataFrame:
     raw = names.select(F.col(column).alias("name")).where(F.trim(F.col("name")) != "").distinct()
     cut = materialize(raw.withColumn("x", parsed("name")).select("name", "x.*"), "names")
     tokens = cut.select("name", "cut", F.posexplode("tokens").alias("pos", "token"))
-    pet = F.create_map(*[F.lit(w) for pair in sorted(set(NICKNAMES.replace("\n", "|").split("|"))) for w in pair.split()])
+    pet = F.create_map(*[F.lit(w) for name, forms in NICKNAMES.items() for form in forms.split() for w in (form, name)])
     side = F.when(F.col("cut") < 0, 0).when(F.col("pos") < F.col("cut"), -1).otherwise(1)
     vocabulary = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(side < 0, 1).otherwise(0)).alias("before"), F.sum(F.when(side > 0, 1).otherwise(0)).alias("after"))
     vocabulary = materialize(vocabulary, "vocabulary")

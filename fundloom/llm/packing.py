@@ -1,6 +1,6 @@
 """Filling containers of fixed capacity with token sequences by balanced attention cost.
 
-Texts are dealt to shards of about SEQUENCES containers; within a shard texts go in descending
+Texts are dealt to shards of about SEQUENCES containers, however many these make; within a shard texts go in descending
 length to the cheapest sequence (linear plus quadratic cost) that still has room. As many sequences
 are opened at once as the tokens need at least; what finds no room opens further ones. A text is
 split only if it alone exceeds the capacity: its full pieces fill containers of their own.
@@ -43,7 +43,7 @@ def pack(sizes: np.ndarray, capacity: int, linear: float = LINEAR, quadratic: fl
     return out
 
 
-def pack_documents(items: DataFrame, capacities: DataFrame, max_shards: int = 1 << 20) -> DataFrame:
+def pack_documents(items: DataFrame, capacities: DataFrame) -> DataFrame:
     """Container of each text or piece.
 
     items: doc_id, tokens (null counts as 0); capacities: container, capacity (a small fixed table;
@@ -57,7 +57,7 @@ def pack_documents(items: DataFrame, capacities: DataFrame, max_shards: int = 1
     if not kinds or not total["n"]:
         return spark.createDataFrame([], OUT)
     kind = [
-        F.struct(F.lit(name).alias("container"), F.lit(c).alias("capacity"), F.lit(int(min(max_shards, max(1, -(-int(total["t"] or 0) // (c * SEQUENCES)), -(-total["n"] // 50_000))))).alias("shards"))
+        F.struct(F.lit(name).alias("container"), F.lit(c).alias("capacity"), F.lit(max(1, -(-int(total["t"] or 0) // (c * SEQUENCES)), -(-total["n"] // 50_000))).cast("bigint").alias("shards"))
         for name, c in kinds
     ]
     pieces = items.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("n"), F.explode(F.array(*kind)).alias("k")).select(
@@ -71,7 +71,7 @@ def pack_documents(items: DataFrame, capacities: DataFrame, max_shards: int = 1
         "container", "capacity", "doc_id", "piece", "tokens", F.concat_ws("-", "container", F.lit("full"), F.col("doc_id").cast("string"), F.col("piece").cast("string")).alias("bin")
     )
     # salted by the hash of the document, so that shards are alike in size whatever the documents' sources are
-    rest = pieces.where("tokens < capacity").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")).cast("int"))
+    rest = pieces.where("tokens < capacity").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.col("shards")))
 
     def shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         container, capacity, no = key

@@ -200,7 +200,7 @@ def score(parts: list[str], tables: list[np.ndarray]) -> pd.DataFrame:
 
 
 def find_residue(df: DataFrame, key: str, titles: list[str], texts: list[str], natural: DataFrame | None = None) -> DataFrame:
-    """Each field of each row with residue: key, field, windows, covered (share of the field), score, evidence.
+    """Each field of each row with residue: key, field, windows, covered (share of the field), score, evidence (the first window).
 
     natural: natural_counts() of a larger corpus, if df is only a part of it. Null, blank and markup-only fields have no row; a repeated row comes out as often as it stands
     in the input; without rows there is no result. Texts of any length are read whole.
@@ -224,14 +224,15 @@ def find_residue(df: DataFrame, key: str, titles: list[str], texts: list[str], n
                 s = score(parts, tables.value)
                 s["i"], s["f"] = zip(*owner)
                 s["n"] = s["segment"].str.len()
+                s["evidence"] = [x[max(0, a) : b] if t >= LEAST else x for x, a, b, t in zip(s["segment"], s["begin"], s["end"], s["score"])]
                 s["in"] = np.where(s["residue"], s["n"], 0)
                 s["all"] = s.groupby(["i", "f"])["n"].transform("sum")
                 hit = s[s["residue"]]
                 if len(hit):
-                    g = hit.groupby(["i", "f"], sort=False).agg(windows=("n", "size"), inside=("in", "sum"), all=("all", "first"), score=("score", "max"), evidence=("segment", "first")).reset_index()
+                    g = hit.groupby(["i", "f"], sort=False).agg(windows=("n", "size"), inside=("in", "sum"), all=("all", "first"), score=("score", "max"), evidence=("evidence", "first")).reset_index()
                     yield pd.DataFrame({
                         key: pdf[key].to_numpy()[g["i"]], "field": [fields[f] for f in g["f"]], "windows": g["windows"].astype("int32"),
-                        "covered": g["inside"] / g["all"], "score": g["score"].astype("float64"), "evidence": g["evidence"].str[:200],
+                        "covered": g["inside"] / g["all"], "score": g["score"].astype("float64"), "evidence": g["evidence"],
                     })
 
     return df.select(F.col(key), *fields).mapInPandas(detect, f"{key} {df.schema[key].dataType.simpleString()}, field string, windows int, covered double, score double, evidence string")

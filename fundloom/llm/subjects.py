@@ -199,18 +199,19 @@ def fit(labelled: pd.DataFrame, areas: list[int], empty: list[str]) -> Model:
     model = Model(areas, np.zeros((1, 1)), np.zeros(1), np.full(len(areas), 0.5), frozenset())
     held = np.arange(len(parts)) % HELD_OUT == 0
     held[len(labelled) :] = False
+    # the held-out rows take no part in any fit, in the choice of openings or in the completion of labels
+    own, mine = [p for p, h in zip(parts, held) if not h], y[~held]
+    rows = len(labelled) - int(held.sum())
     for step in range(3):
-        train = ~held if step == 2 else np.ones(len(parts), dtype=bool)
-        own = [p for p, t in zip(parts, train) if t]
-        model.weights, model.bias = _fit(*_examples(own, y[train], model.passing, grams))
+        model.weights, model.bias = _fit(*_examples(own, mine, model.passing, grams))
         if step == 0:
-            model.passing = _passing(parts, y, model, grams)
+            model.passing = _passing(own, mine, model, grams)
         if step < 2:
-            y[: len(labelled)] = np.maximum(given[: len(labelled)], model.scores(parts[: len(labelled)], grams) >= SURE)
-    # the held-out rows calibrate the thresholds of the model fitted to the others
+            mine[:rows] = np.maximum(given[~held][:rows], model.scores(own[:rows], grams) >= SURE)
+    # they calibrate the thresholds with the labels they were given; a label that isn't given says little, since labels are incomplete
     score = model.scores([p for p, h in zip(parts, held) if h], grams)
     for k in range(len(areas)):
-        truth = y[held, k] > 0
+        truth = given[held, k] > 0
         found = lambda t: (1 + BETA**2) * (truth & (score[:, k] >= t)).sum() / max(1, BETA**2 * truth.sum() + (score[:, k] >= t).sum())  # noqa: E731, B023
         model.thresholds[k] = max((found(t), -abs(t - 0.4), t) for t in np.arange(0.35, 0.66, 0.05))[2]
     return model
