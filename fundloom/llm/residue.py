@@ -30,10 +30,12 @@ CHANNELS = ((5, 20), (3, 18), (4, 16))
 #: Clipping of a ratio; least sum and share of a segment of a window; sum from which a window counts
 #: within a longer segment; least sum of a window of shapes.
 LOW, HIGH, LEAST, COVER, INSIDE, MARK = -2.5, 4.0, 5.0, 0.6, 62.0, 7.0
-#: Least sum of a window that holds a bracketed piece.
+#: Least sum of a window that meets a bracketed piece.
 BRACKET = 10.0
 #: Share of its 5-grams among the examples' from which a segment isn't counted as natural prose.
 EXAMPLE_SHARE = 0.7
+#: Share of all n-grams up to which natural prose says nothing of one that no example has, for each channel; shorter n-grams decide then.
+RARE = (3e-6, 0.0, 0.0)
 _GAP = 4
 
 _TAG = re.compile(r"</?(?:p|b|i|u|em|strong|br|div|span|ul|ol|li|sub|sup|a|font|td|tr|table)\b[^<>]*>", re.I)
@@ -108,7 +110,7 @@ def _mash(seed: int = 7, n: int = 2500) -> list[str]:
 
 def example_counts() -> list[np.ndarray]:
     """Relative frequencies of the n-grams of the examples, for each channel."""
-    texts = [_DIGITS.sub("0", e.strip()) for b in (ex.FILLER, ex.NOTICES, ex.FORMS) for e in ex.examples(b)]
+    texts = [_DIGITS.sub("0", e.strip()) for e in [*(e for b in (ex.LATIN, ex.FILLER, ex.NOTICES, ex.FORMS) for e in ex.examples(b)), *ex.placeholders()]]
     sentences = [s for t in texts for s in {t, *[x.strip() for x in _SPLIT.split(t)]} if s]
     marks = [m.replace("a", "x") for m in ex.examples(ex.MARKS)]
     out = []
@@ -118,9 +120,11 @@ def example_counts() -> list[np.ndarray]:
         c = np.bincount(b, minlength=1 << bits).astype(np.float64)
         c /= c.sum()
         if order == 3:
-            codes, _, _ = _codes(_mash())
-            m = np.bincount(_buckets(codes, order, bits)[_of_text(codes)], minlength=1 << bits).astype(np.float64)
-            c = 0.5 * c + 0.5 * m / m.sum()
+            # words without meaning are told by their letters: typed at random, or made up after running filler
+            for share, made_up in ((0.5, _mash()), (0.4, ex.examples(ex.LATIN))):
+                codes, _, _ = _codes(made_up)
+                m = np.bincount(_buckets(codes, order, bits)[_of_text(codes)], minlength=1 << bits).astype(np.float64)
+                c = (1 - share) * c + share * m / m.sum()
         out.append(c)
     return out
 
@@ -165,7 +169,7 @@ def ratios(natural: pd.DataFrame) -> list[np.ndarray]:
         total = max(n.sum(), 1e5)
         w = np.log((r + 1e-7) / ((n + 0.5) / total + 1e-7))
         w = np.where(r == 0, np.minimum(w, -0.7), w)
-        w = np.where((r == 0) & (n == 0), np.nan, w)
+        w = np.where((r == 0) & (n <= RARE[k] * total), np.nan, w)
         out.append(np.clip(w, LOW, HIGH).astype(np.float32))
     return out
 
@@ -194,7 +198,7 @@ def score(parts: list[str], tables: list[np.ndarray]) -> pd.DataFrame:
     sc, ss, sn = _codes([_shape(p) for p in parts])
     m = np.nan_to_num(tables[2][_buckets(sc, *CHANNELS[2])], nan=-0.5)
     mark, _, _ = _windows(m, sc, ss)
-    bracket = np.array([t >= BRACKET and bool(_BRACKET.search(p[max(0, a - 2) : b + 2])) for p, t, a, b in zip(parts, total, begin - starts, end - starts)], dtype=bool)
+    bracket = np.array([t >= BRACKET and any(m.start() < b and m.end() > a for m in _BRACKET.finditer(p)) for p, t, a, b in zip(parts, total, begin - starts, end - starts)], dtype=bool)
     residue = bracket | ((total >= LEAST) & (cover >= COVER)) | (total >= INSIDE) | (mark >= MARK)
     return pd.DataFrame({"segment": parts, "score": total, "cover": cover, "mark": mark, "residue": residue, "begin": begin - starts, "end": end - starts})
 
