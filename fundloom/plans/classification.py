@@ -175,7 +175,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("t19_terms_coerced", "SELECT faculty_id, len(list_filter(list_transform(string_split(coalesce(terminal_degrees, ''), ','), lambda s: trim(s)), lambda s: s <> '')) AS n FROM faculty")
 def _(t: Tables) -> DataFrame:
-    parts = F.filter(F.transform(F.split(F.coalesce("terminal_degrees", F.lit("")), ","), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce("terminal_degrees", F.lit("")), ","), lambda s: F.trim(s)), lambda s: s != "")
     return t.faculty.select("faculty_id", F.size(parts).cast("bigint").alias("n"))
 
 
