@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.functions import text as tx
+from fundloom.session import materialize
 
 
 def doc_terms(docs: DataFrame, key: str, text: str, low: int = 1, high: int = 3) -> DataFrame:
@@ -171,15 +172,68 @@ def bisecting_clusters(df: DataFrame, key: str, vector: str, k: int, noise: floa
     return x.join(F.broadcast(cut), F.lit(True)).select(key, F.when(F.col("far") > F.col("cut"), -1).otherwise(F.col("cluster")).alias("cluster"), F.bround("far", 6).alias("distance"))
 
 
-def lda_topics(docs: DataFrame, key: str, bag: str, k: int, rounds: int = 10, seed: int = 7, min_df: float = 5, max_df: float = 0.6):
-    """LDA over a bag of words (column of words): the model, its vocabulary and key with topicDistribution."""
-    from pyspark.ml.clustering import LDA
+def lda_bags(docs: DataFrame, key: str, text: str, stops: list[str], low: int = 1, high: int = 2) -> DataFrame:
+    """Key and bag: words of more than two letters and their pairs, without terms made of stop words alone."""
+    bare = docs.select(key, tx.letters_only(F.col(text)).alias("_bare"))
+    words = F.filter(F.split("_bare", " "), lambda w: (F.length(w) > 2) & ~w.isin(tx.STOPWORDS))
+    grams = tx.ngrams(words, low, high)
+    return bare.select(key, F.filter(grams, lambda g: ~F.forall(F.split(g, " "), lambda w: w.isin(stops))).alias("bag"))
+
+
+def lda_counts(docs: DataFrame, bag: str = "bag", min_df: float = 15, max_df: float = 0.6):
+    """The vectoriser of a bag of terms: every term within the bounds of document frequency (the bounds, not a size, limit it)."""
     from pyspark.ml.feature import CountVectorizer
 
-    vec = CountVectorizer(inputCol=bag, outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=20_000).fit(docs)
-    x = vec.transform(docs).select(key, "features")
-    model = LDA(k=k, maxIter=rounds, seed=seed, optimizer="online").fit(x)
-    return model, vec.vocabulary, model.transform(x)
+    return CountVectorizer(inputCol=bag, outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=2**30).fit(docs)
+
+
+def lda_fit(x: DataFrame, k: int, rounds: int = 50, seed: int = 42):
+    """LDA by variational Bayes, each round over all documents."""
+    from pyspark.ml.clustering import LDA
+
+    return LDA(k=k, maxIter=rounds, seed=seed, optimizer="online", subsamplingRate=1.0).fit(x)
+
+
+def perplexities(x: DataFrame, ks: list[int], rounds: int = 20) -> list[tuple[int, float]]:
+    """Log perplexity of one fit for each k, over the same counts."""
+    x = materialize(x, "bags")
+    return [(k, float(lda_fit(x, k, rounds).logPerplexity(x))) for k in ks]
+
+
+def silhouettes(df: DataFrame, key: str, vector: str, ks: list[int], most: int = 5000) -> DataFrame:
+    """Silhouette of the average-linkage clusters for each k: k, silhouette; for a counted number of rows, as linkage_clusters()."""
+    n = df.count()
+    if n > most:
+        raise ValueError(f"{n} vectors; agglomeration takes at most {most}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values(key)[vector].to_numpy())
+        return pd.DataFrame([(k, silhouette(x, average_linkage(x, k))) for k in ks if k < len(x)], columns=["k", "silhouette"]).astype({"k": "int32", "silhouette": "float64"})
+
+    return df.select(key, vector, F.lit(0).alias("_all")).groupBy("_all").applyInPandas(lambda pdf: run(pdf), "k int, silhouette double")
+
+
+def choose_k(sweep: DataFrame, low: int, high: int) -> DataFrame:
+    """The k of the best score within a preferred range; where no k lies in it, the best of all, marked as a fallback."""
+    rank = F.struct("silhouette", (-F.col("k")).alias("less"))
+    within = F.col("k").between(low, high)
+    x = sweep.agg(F.max_by("k", F.when(within, rank)).alias("a"), F.max_by("k", rank).alias("b"), F.max(F.when(within, F.col("silhouette"))).alias("sa"), F.max("silhouette").alias("sb"))
+    return x.select(F.coalesce("a", "b").alias("k"), F.coalesce("sa", "sb").alias("silhouette"), F.col("a").isNull().alias("fallback"))
+
+
+def term_stability(full: DataFrame, fits: DataFrame, n_fits: int) -> DataFrame:
+    """Share of fits in which each term of a topic comes back: topic, term, stable.
+
+    full: topic, term; fits: fit, topic, term. A topic of a fit stands for the topic of the full one with
+    which it shares the largest part of both sets of terms; ties go to the smaller topic.
+    """
+    size = full.groupBy("topic").agg(F.count(F.lit(1)).alias("na"))
+    other = fits.groupBy("fit", F.col("topic").alias("t2")).agg(F.count(F.lit(1)).alias("nb"))
+    met = full.join(fits.select("fit", F.col("topic").alias("t2"), "term"), "term").groupBy("topic", "fit", "t2").agg(F.count(F.lit(1)).alias("n"))
+    share = met.join(size, "topic").join(other, ["fit", "t2"]).withColumn("jaccard", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")))
+    best = share.groupBy("topic", "fit").agg(F.min_by("t2", F.struct((-F.col("jaccard")).alias("j"), "t2")).alias("t2"))
+    back = best.join(fits.select("fit", F.col("topic").alias("t2"), "term"), ["fit", "t2"]).select("topic", "term", "fit")
+    return full.join(back, ["topic", "term"], "left").groupBy("topic", "term").agg((F.count("fit") / n_fits).alias("stable"))
 
 
 def factor_topics(counts: DataFrame, row: str, column: str, value: str, k: int, seed: int = 7):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,10 +113,10 @@ def _(t: Tables) -> DataFrame:
     return voc.linkage_clusters(c, "g", "centroid", [4, 6, 8, 10])
 
 
-@R.add("m12_k_selected", "SELECT arg_max(k, (s, -k)) AS k FROM (VALUES (4, 0.31), (6, 0.35), (8, 0.35), (12, 0.5)) v(k, s) WHERE k BETWEEN 4 AND 10")
+@R.add("m12_k_selected")
 def _(t: Tables) -> DataFrame:
-    sweep = t.spark.createDataFrame([(4, 0.31), (6, 0.35), (8, 0.35), (12, 0.5)], "k int, s double")
-    return sweep.where("k BETWEEN 4 AND 10").agg(F.max_by("k", F.struct("s", (-F.col("k")).alias("k"))).alias("k"))
+    c = bm25.mean_vectors(t.embeddings.withColumn("g", F.col("vec_id") % 60), "g", "embedding")
+    return voc.choose_k(voc.silhouettes(c, "g", "centroid", [4, 6, 8, 10, 12]), 6, 10)
 
 
 @R.add("m13_nesting", "SELECT academic_unit, count(DISTINCT superior_academic_unit) AS parents FROM faculty WHERE academic_unit IS NOT NULL GROUP BY 1 HAVING count(DISTINCT superior_academic_unit) > 1")
@@ -189,38 +191,62 @@ def _(t: Tables) -> DataFrame:
     return voc.top_per_group(x, "g", "s", 40, "term").select("g", "term", F.bround("ctfidf", 8).alias("ctfidf"))
 
 
-@R.add("m23_term_stability")
+_FITS = 6
+_STABLE = _TERMS + f""", k AS (SELECT DISTINCT term FROM merged), fd AS (SELECT f.fit, agencycode AS g, term, tf FROM dt JOIN k USING (term), range(0, {_FITS + 1}) f(fit) WHERE agencycode IS NOT NULL AND (f.fit = {_FITS} OR record_id % {_FITS} <> f.fit)),
+fc AS (SELECT fit, g, term, sum(tf)::DOUBLE AS tf FROM fd GROUP BY 1, 2, 3), mean AS (SELECT fit, floor(avg(s)) AS m FROM (SELECT fit, g, sum(tf) AS s FROM fc GROUP BY 1, 2) GROUP BY 1),
+ft AS (SELECT fit, g, term, round_even(tf / sum(tf) OVER (PARTITION BY fit, g) * ln(m / sum(tf) OVER (PARTITION BY fit, term) + 1), 10) AS s FROM fc JOIN mean USING (fit)),
+tt AS (SELECT fit, g, term FROM ft QUALIFY row_number() OVER (PARTITION BY fit, g ORDER BY s DESC, term) <= 20), full_ AS (SELECT g, term FROM tt WHERE fit = {_FITS}), fits AS (SELECT * FROM tt WHERE fit < {_FITS}),
+j AS (SELECT a.g, b.fit, b.g AS g2, count(*) AS n FROM full_ a JOIN fits b USING (term) GROUP BY 1, 2, 3),
+bm AS (SELECT g, fit, arg_min(g2, (-(n / (na + nb - n)), g2)) AS g2 FROM j JOIN (SELECT g, count(*) AS na FROM full_ GROUP BY 1) USING (g) JOIN (SELECT fit, g AS g2, count(*) AS nb FROM fits GROUP BY 1, 2) USING (fit, g2) GROUP BY 1, 2)
+SELECT a.g AS topic, a.term, round_even(count(b.fit) / {_FITS}, 6) AS stable FROM full_ a LEFT JOIN (SELECT bm.g, bm.fit, fits.term FROM bm JOIN fits ON fits.fit = bm.fit AND fits.g = bm.g2) b ON a.g = b.g AND a.term = b.term GROUP BY 1, 2"""
+
+
+@R.add("m23_term_stability", _STABLE)
 def _(t: Tables) -> DataFrame:
-    """Share of each class's top terms that come back when every second document is left out."""
-    full = voc.top_per_group(voc.class_tfidf(_class_counts(t), "g"), "g", "ctfidf", 20, "term").select("g", "term")
-    half = _terms(t).where("record_id % 2 = 0").join(t.grants.select("record_id", F.col("agencycode").alias("g")), "record_id").groupBy("g", "term").agg(F.sum("tf").cast("double").alias("tf"))
-    half = voc.top_per_group(voc.class_tfidf(half.join(_vocabulary(t).select("term"), "term"), "g"), "g", "ctfidf", 20, "term").select("g", "term", F.lit(1).alias("again"))
-    return full.join(half, ["g", "term"], "left").groupBy("g").agg(F.bround(F.count("again") / one(), 6).alias("stable"))
+    """Six fits, each without every sixth document, held against the fit to all."""
+    docs = _terms(t).join(_vocabulary(t).select("term"), "term").join(t.grants.select("record_id", F.col("agencycode").alias("g")), "record_id").where("g IS NOT NULL")
+    in_fits = F.filter(F.sequence(F.lit(0), F.lit(_FITS)), lambda i: (i == _FITS) | (F.col("record_id") % _FITS != i))
+    counts = materialize(docs.select("g", "term", "tf", F.explode(in_fits).alias("fit")).groupBy("fit", "g", "term").agg(F.sum("tf").cast("double").alias("tf")), "fits")
+    size = counts.groupBy("fit", "g").agg(F.sum("tf").alias("size"))
+    mean = size.groupBy("fit").agg(F.floor(F.avg("size")).alias("mean"))
+    freq = counts.groupBy("fit", "term").agg(F.sum("tf").alias("f"))
+    scored = counts.join(size, ["fit", "g"]).join(freq, ["fit", "term"]).join(mean, "fit").select(F.struct("fit", "g").alias("fg"), "term", F.bround(F.col("tf") / F.col("size") * F.log(F.col("mean") / F.col("f") + 1), 10).alias("s"))
+    top = materialize(voc.top_per_group(scored, "fg", "s", 20, "term").select("fg.fit", F.col("fg.g").alias("topic"), "term"), "fit-terms")
+    return voc.term_stability(top.where(F.col("fit") == _FITS).drop("fit"), top.where(F.col("fit") < _FITS), _FITS).withColumn("stable", F.bround("stable", 6))
 
 
-def _lda(t: Tables):
-    words = F.filter(F.split(tx.letters_only(F.col("abstract")), " "), lambda w: (F.length(w) > 3) & ~w.isin(tx.STOPWORDS))
-    docs = t.grants.where("length(abstract) > 200").select("record_id", words.alias("bag"))
-    return voc.lda_topics(docs, "record_id", "bag", 6)
+# Words that frame proposals whatever their subject.
+DOMAIN_STOPS = ["research", "project", "study", "studies", "proposal", "proposed", "abstract", "grant", "award", "program", "support", "use", "using", "used", "will", "new", "work", "data", "methods", "approach", "results", "award", "team"]
+LDA_K = 8
+
+
+def _lda_counts(t: Tables):
+    """Vectoriser and counts of the abstracts that are long enough (200 characters, 40 words)."""
+    long = t.grants.where((F.length(F.trim("abstract")) >= 200) & (F.size(F.split(tx.letters_only(F.col("abstract")), " ")) >= 40))
+    bags = materialize(voc.lda_bags(long, "record_id", "abstract", DOMAIN_STOPS), "bags")
+    vec = voc.lda_counts(bags)
+    return vec, vec.transform(bags).select("record_id", "features")
 
 
 @R.add("m24_lda_topics")
 def _(t: Tables) -> DataFrame:
-    model, words, _ = _lda(t)
-    names = F.array(*[F.lit(w) for w in words[:2000]])
-    return model.describeTopics(8).select("topic", F.array_join(F.transform("termIndices", lambda i: F.try_element_at(names, i + 1)), " ").alias("terms"))
+    vec, x = _lda_counts(t)
+    words = t.spark.createDataFrame(list(enumerate(vec.vocabulary)), "i int, term string")
+    top = voc.lda_fit(x, LDA_K).describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "i"))
+    told = top.join(words, "i").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("r"))
+    return told.select("topic", F.array_join(F.transform("r", lambda r: r["term"]), ", ").alias("terms"))
 
 
 @R.add("m25_lda_vocabulary")
 def _(t: Tables) -> DataFrame:
-    _, words, _ = _lda(t)
-    return t.spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, term string")
+    vec, _ = _lda_counts(t)
+    return t.spark.createDataFrame(list(enumerate(vec.vocabulary)), "i int, term string")
 
 
 @R.add("m26_perplexity")
 def _(t: Tables) -> DataFrame:
-    model, _, x = _lda(t)
-    return t.spark.createDataFrame([(6, float(model.logPerplexity(x)))], "k int, log_perplexity double")
+    _, x = _lda_counts(t)
+    return t.spark.createDataFrame(voc.perplexities(x, [5, 6, 7, 8, 9, 10, 12]), "k int, log_perplexity double")
 
 
 _TOP = _TERMS + ", topw AS (SELECT g AS topic, term FROM ct QUALIFY row_number() OVER (PARTITION BY g ORDER BY round_even(ctfidf, 10) DESC, term) <= 6), d AS (SELECT DISTINCT record_id, term FROM dt), n AS (SELECT term, count(*) AS n FROM d GROUP BY 1), co AS (SELECT x.topic, x.term AS a, y.term AS b, (SELECT count(*) FROM d d1 JOIN d d2 ON d1.record_id = d2.record_id WHERE d1.term = x.term AND d2.term = y.term) AS n_ab, nx.n AS n_a, ny.n AS n_b FROM topw x JOIN topw y ON x.topic = y.topic AND x.term < y.term JOIN n nx ON nx.term = x.term JOIN n ny ON ny.term = y.term)\n"
@@ -334,8 +360,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    _, _, x = _lda(t)
-    d = x.select("record_id", vector_to_array("topicDistribution").alias("p"))
+    _, x = _lda_counts(t)
+    d = voc.lda_fit(x, LDA_K).transform(x).select("record_id", vector_to_array("topicDistribution").alias("p"))
     return d.select("record_id", (F.array_position("p", F.array_max("p")) - 1).alias("topic"), F.bround(F.array_max("p"), 6).alias("prob"))
 
 
@@ -477,7 +503,12 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("s7_last_record", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+    from fundloom.session import shared_dir
+    from fundloom.sources.files import last_records
+
+    log = f"{shared_dir(t.spark)}/fundloom/{t.spark.sparkContext.applicationId}/log-{uuid.uuid4().hex}"
+    t.events.select("user_id", "event_id", "event_type").write.json(log)
+    return last_records(t.spark, log, "user_id bigint, event_id bigint, event_type string", "user_id", "event_id").select("user_id", "event_type")
 
 
 @R.add("s10_fetch_plan", "SELECT DISTINCT grant_id FROM grants g WHERE coalesce(trim(abstract), '') = '' AND NOT EXISTS (SELECT 1 FROM grants x WHERE x.grant_id = g.grant_id AND trim(x.abstract) <> '')")
@@ -486,9 +517,12 @@ def _(t: Tables) -> DataFrame:
     return blank.join(t.grants.where("trim(abstract) <> ''").select("grant_id"), "grant_id", "left_anti")
 
 
-@R.add("s13_aligned_vectors", "SELECT count(*) AS n, count(*) FILTER (len(embedding) = 64) AS of_length FROM embeddings")
+@R.add("s13_aligned_vectors", "SELECT doc_id, e.vec_id IS NOT NULL AS there FROM documents LEFT JOIN (SELECT vec_id FROM embeddings WHERE len(embedding) = 64 GROUP BY 1) e ON e.vec_id = doc_id")
 def _(t: Tables) -> DataFrame:
-    return t.embeddings.agg(one().alias("n"), F.count_if(F.size("embedding") == 64).alias("of_length"))
+    from fundloom.sources.vectors import aligned
+
+    v = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    return aligned(t.documents.select("doc_id"), v, "doc_id", "embedding", 64).select("doc_id", F.col("embedding").isNotNull().alias("there"))
 
 
 # ---- windows over event time, as the streaming module computes them, on the table at rest ----
