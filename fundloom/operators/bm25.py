@@ -129,6 +129,48 @@ def decide(docs: DataFrame, scores: DataFrame, key: str, title: str, rest: str,
     )
 
 
+def sweep(docs: DataFrame, counts: DataFrame, key: str, title: str, rest: str, taxonomy: DataFrame, settings: list[tuple[float, float, float]], high_terms: list[int], p: Parameters) -> DataFrame:
+    """Decisions of every document under each setting (k1, b, title weight) and least number of terms of the high tier.
+
+    Returns k1, b, title, high_terms, key, leaf (-1: none), tier. The matches are counted once; all settings are
+    scored in one job. A document without a term has no row.
+    """
+    size = lambda c: F.size(tx.tokens(F.col(c)))
+    lengths = docs.select(key, size(title).alias("lt"), size(rest).alias("lr"))
+    corpus = lengths.agg(F.avg("lt").alias("mt"), F.avg("lr").alias("mr"), F.count(F.lit(1)).cast("double").alias("n_docs"))
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighed = taxonomy.join(df, "term", "left").fillna(0, "df").join(F.broadcast(corpus), F.lit(True)).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
+    norm = weighed.where("weight > 0").groupBy("leaf").agg(F.sum(F.col("weight") * F.col("idf")).alias("mass")).select("leaf", F.when(F.col("mass") > 0, F.pow("mass", F.lit(p.alpha))).otherwise(1.0).alias("norm"))
+    terms = weighed.select("leaf", "term", "weight", "idf", "mt", "mr").join(norm, "leaf")
+    grid = F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(w).alias("title")) for k1, b, w in settings])
+    x = counts.join(terms, "term").join(lengths, key).withColumn("g", F.explode(grid))
+    w = F.col("g.title")
+    tf, length, mean = w * F.col("tf_title") + F.col("tf_rest"), w * F.col("lt") + F.col("lr"), w * F.col("mt") + F.col("mr")
+    d = tf + F.col("g.k1") * (1 - F.col("g.b") + F.col("g.b") * F.when(mean > 0, length / mean).otherwise(0.0))
+    part = F.col("weight") * F.col("idf") * tf * (F.col("g.k1") + 1) / d
+    scores = x.groupBy("g", key, "leaf").agg((F.sum(part) / F.max("norm")).alias("score"), F.count_if(F.col("weight") > 0).alias("n"))
+    n_leaves = taxonomy.select("leaf").distinct().count()
+    top = scores.groupBy("g", key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "leaf", "n"))).alias("r"))  # a taxonomy's leaves
+    s1, n = -F.element_at("r", 1)["s"], F.element_at("r", 1)["n"]
+    second = F.coalesce(-F.try_element_at("r", F.lit(2))["s"], F.lit(0.0))
+    s2 = F.when(F.size("r") < n_leaves, F.greatest(second, F.lit(0.0))).otherwise(second)
+    told = top.select("g.*", key, F.element_at("r", 1)["leaf"].alias("leaf"), s1.alias("s1"), ((s1 - s2) / s1).alias("margin"), n.alias("n"), F.explode(F.array(*[F.lit(h) for h in high_terms])).alias("high_terms"))
+    given = F.col("s1") > 0
+    tier = F.when(~given, "none").when((F.col("margin") >= p.high_margin) & (F.col("n") >= F.col("high_terms")), "high").when((F.col("margin") >= p.medium_margin) & (F.col("n") >= 1), "medium").otherwise("low")
+    return told.select("k1", "b", "title", "high_terms", key, F.when(given, F.col("leaf")).otherwise(-1).alias("leaf"), tier.alias("tier"))
+
+
+def adopt(found: DataFrame, gold: DataFrame, key: str, answer: str, baseline: tuple[float, float, float, int]) -> DataFrame:
+    """Accuracy of each setting of sweep() on gold rows, and whether it beats the baseline's by half its Wilson interval."""
+    setting = ["k1", "b", "title", "high_terms"]
+    n_gold = gold.where(F.col(answer).isNotNull()).count()
+    hit = found.join(gold.where(F.col(answer).isNotNull()), key, "left")
+    x = hit.groupBy(*setting).agg(F.count_if(F.col("leaf") >= 0).alias("assigned"), F.count_if(F.col("tier") == "high").alias("high"), F.count_if(F.col("leaf") == F.col(answer)).alias("hits")).withColumn("n", F.lit(n_gold))
+    lo, hi = wilson(F.col("hits"), F.col("n"))
+    base = x.where((F.col("k1") == baseline[0]) & (F.col("b") == baseline[1]) & (F.col("title") == baseline[2]) & (F.col("high_terms") == baseline[3])).select((F.col("hits") / F.col("n")).alias("base"), ((hi - lo) / 2).alias("half"))
+    return x.join(F.broadcast(base), F.lit(True)).select(*setting, "assigned", "high", F.bround(F.col("hits") / F.col("n"), 6).alias("accuracy"), (F.col("hits") / F.col("n") > F.col("base") + F.col("half")).alias("adopt"))
+
+
 def taxonomy_faults(taxonomy: DataFrame, leaves: DataFrame) -> DataFrame:
     """Errors and warnings of a taxonomy, one row each: level, rule, item."""
     rules = [

@@ -168,9 +168,29 @@ def _(t: Tables) -> DataFrame:
     return x.select("record_id", "leaf", F.coalesce("answer", "leaf").alias("final_leaf"), F.when(F.col("answer").isNotNull(), "review").when(F.col("leaf") >= 0, "keyword").otherwise("unassigned").alias("final_source"))
 
 
-@R.add("t18_prompts", "SELECT record_id, concat_ws(chr(10), 'Title: ' || coalesce(grantname, ''), 'Abstract: ' || substr(coalesce(abstract, ''), 1, 500)) AS prompt FROM grants")
+_TOP5 = "SELECT record_id, leaf, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, leaf) AS i FROM alls"
+_KEYS = f"SELECT leaf, string_agg(term, ', ' ORDER BY term) AS keys FROM (SELECT leaf, term, row_number() OVER (PARTITION BY leaf ORDER BY term) AS k FROM {tax.TERMS_SQL} WHERE weight > 0) WHERE k <= 15 GROUP BY 1"
+TASK = "Choose the topic that this award belongs to from the candidates, or none of them. The order of the candidates is a hint."
+REPLY = "Give the leaf, or abstain if no candidate fits."
+
+
+@R.add(
+    "t18_prompts",
+    _CTE
+    + f""", cands AS (SELECT record_id, string_agg(concat('- ', c.leaf, ': ', label, ' (', parent, '); keywords: ', keys), chr(10) ORDER BY i) AS lines FROM ({_TOP5}) c JOIN {tax.LEAVES_SQL} ON lv.leaf = c.leaf JOIN ({_KEYS}) k ON k.leaf = c.leaf WHERE i <= 5 GROUP BY 1)
+SELECT g.record_id, concat_ws(chr(10), '{TASK}', 'Title: ' || coalesce(grantname, '(none)'), 'Abstract: ' || coalesce(abstract, '(none)'), 'Candidates:', lines, '{REPLY}') AS prompt FROM grants g LEFT JOIN cands USING (record_id)""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.grants.select("record_id", F.concat_ws("\n", F.concat(F.lit("Title: "), F.coalesce("grantname", F.lit(""))), F.concat(F.lit("Abstract: "), F.substring(F.coalesce("abstract", F.lit("")), 1, 500))).alias("prompt"))
+    keys = F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("weight") > 0, F.col("term")))), 1, 15), ", ")
+    told = tax.leaves(t.spark).join(tax.taxonomy(t.spark).groupBy("leaf").agg(keys.alias("keys")), "leaf")
+    line = F.concat(F.lit("- "), F.col("leaf").cast("string"), F.lit(": "), "label", F.lit(" ("), "parent", F.lit("); keywords: "), "keys")
+    lines = told.agg(F.array_sort(F.collect_list(F.struct("leaf", line.alias("line")))).alias("_leaves"))  # a taxonomy's leaves
+    scored = _scores(t).groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "score"))).alias("_s"))
+    docs = _docs(t).join(scored, "record_id", "left").join(F.broadcast(lines), F.lit(True))
+    # leaves without a row have the score 0; the sort is by score, then by leaf
+    ranked = F.array_sort(F.transform("_leaves", lambda x: F.struct((-F.coalesce(F.try_element_at("_s", x["leaf"]), F.lit(0.0))).alias("s"), x["leaf"].alias("leaf"), x["line"].alias("line"))))
+    first = F.array_join(F.transform(F.slice(ranked, 1, 5), lambda x: x["line"]), "\n")
+    return docs.select("record_id", F.concat_ws("\n", F.lit(TASK), F.concat(F.lit("Title: "), F.coalesce("grantname", F.lit("(none)"))), F.concat(F.lit("Abstract: "), F.coalesce("abstract", F.lit("(none)"))), F.lit("Candidates:"), first, F.lit(REPLY)).alias("prompt"))
 
 
 @R.add("t19_terms_coerced", "SELECT faculty_id, len(list_filter(list_transform(string_split(coalesce(terminal_degrees, ''), ','), lambda s: trim(s)), lambda s: s <> '')) AS n FROM faculty")
@@ -218,20 +238,13 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("t25_parameter_sweep")
 def _(t: Tables) -> DataFrame:
-    """The matches are made once; each setting only scores them again."""
-    from dataclasses import replace
-
+    """108 settings over one count of the matches; the reviewed rows are the gold set."""
     from fundloom.session import materialize
 
     counts = materialize(_counts(t), "sweep")
-    out = None
-    for k1, b, alpha in ((1.2, 0.75, 0.5), (1.6, 0.75, 0.5), (1.2, 0.4, 0.5), (1.2, 0.75, 1.0)):
-        p = replace(P, k1=k1, b=b, alpha=alpha)
-        s = bm25.leaf_scores(_docs(t), counts, "record_id", "grantname", "abstract", tax.taxonomy(t.spark), p)
-        d = bm25.decide(_docs(t), s, "record_id", "grantname", "abstract", tax.leaves(t.spark).select("leaf", "n_leaf_terms"), tax.PLACEHOLDERS, p)
-        x = d.agg(F.count_if(F.col("tier") == "high").alias("high"), F.count_if(F.col("leaf") >= 0).alias("assigned")).select(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(alpha).alias("alpha"), "high", "assigned")
-        out = x if out is None else out.unionByName(x)
-    return out
+    settings = [(k1, b, w) for k1 in (1.2, 1.5, 2.0) for b in (0.5, 0.75, 0.9) for w in (1.0, 1.5, 2.0, 3.0)]
+    found = bm25.sweep(_docs(t), counts, "record_id", "grantname", "abstract", tax.taxonomy(t.spark), settings, [1, 2, 3], P)
+    return bm25.adopt(found, _review(t), "record_id", "answer", (P.k1, P.b, P.title, P.high_terms))
 
 
 @R.add("t26_similarity")

@@ -97,9 +97,10 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("j12_blocked_fuzzy_persons")
 def _(t: Tables) -> DataFrame:
-    typed = t.faculty_grants.where("personname RLIKE ','").select(F.trim("personname").alias("key"), F.lower(F.regexp_replace("personname", ",", " ")).alias("name"), F.trim("personname").alias("n0")).distinct()
-    typed = typed.withColumn("block", F.lower(F.trim(F.regexp_replace("n0", ",.*$", "")))).drop("n0")
-    roster = t.faculty.where("faculty_name IS NOT NULL").select(F.lower(F.regexp_replace("faculty_name", ",", "")).alias("name"), F.lower(F.regexp_replace("faculty_name", ",.*$", "")).alias("block"))
+    # the last name stands before the comma, or last
+    last = lambda c: F.lower(F.trim(F.when(F.contains(F.col(c), F.lit(",")), F.regexp_replace(c, ",.*$", "")).otherwise(F.element_at(F.split(F.trim(c), r"\s+"), -1))))
+    typed = t.faculty_grants.where("trim(personname) <> ''").select(F.trim("personname").alias("key"), F.lower(F.regexp_replace("personname", ",", " ")).alias("name"), last("personname").alias("block")).distinct()
+    roster = t.faculty.where("trim(faculty_name) <> ''").select(F.lower(F.regexp_replace("faculty_name", ",", "")).alias("name"), last("faculty_name").alias("block"))
     return op.best_fuzzy(typed, roster, "key", "name", ["block"], 90.0)
 
 
@@ -122,26 +123,16 @@ def _(t: Tables) -> DataFrame:
     return t.extra_neu_abstracts.select("doc_id", key.alias("id")).join(ids, "id").select("doc_id", "id")
 
 
+# titles squeezed to letters and digits
 _T15 = "lower(regexp_replace(title, '[^A-Za-z0-9]', '', 'g'))"
 _G15 = "lower(regexp_replace(grantname, '[^A-Za-z0-9]', '', 'g'))"
 
 
-@R.add(
-    "j15_theta_best",
-    f"""WITH o AS (SELECT DISTINCT id, {_T15} AS k, start_date AS sd, dollar_amount AS amt FROM grant_orphaned_abstracts), g AS (SELECT record_id, {_G15} AS k, startdate, totaldollars FROM grants),
-c AS (SELECT o.id, g.record_id, abs(date_diff('day', CAST(g.startdate AS DATE), CAST(o.sd AS DATE))) AS days FROM o JOIN g USING (k) WHERE length(k) > 10
-AND (o.sd IS NULL OR g.startdate IS NULL OR abs(date_diff('day', CAST(g.startdate AS DATE), CAST(o.sd AS DATE))) <= 365) AND (coalesce(o.amt, 0) <= 0 OR coalesce(g.totaldollars, 0) <= 0 OR abs(o.amt - g.totaldollars) <= 0.15 * g.totaldollars))
-SELECT id, record_id, days FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(days, 1000000000), record_id) = 1""",
-)
+@R.add("j15_theta_best")
 def _(t: Tables) -> DataFrame:
-    squeeze = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))
-    o = t.grant_orphaned_abstracts.select("id", squeeze("title").alias("k"), "start_date", "dollar_amount").distinct().where("length(k) > 10")
-    g = t.grants.select("record_id", squeeze("grantname").alias("k"), "startdate", "totaldollars")
-    c = o.join(g, "k").withColumn("days", F.abs(F.datediff("start_date", "startdate")).cast("bigint"))
-    near = F.col("days").isNull() | (F.col("days") <= 365)
-    paid = (F.coalesce("dollar_amount", F.lit(0.0)) <= 0) | (F.coalesce("totaldollars", F.lit(0.0)) <= 0) | (F.abs(F.col("dollar_amount") - F.col("totaldollars")) <= 0.15 * F.col("totaldollars"))
-    best = F.struct(F.coalesce("days", F.lit(10**9)).alias("d"), F.col("record_id").alias("r"))
-    return c.where(near & paid).groupBy("id").agg(F.min_by(F.struct("record_id", "days"), best).alias("m")).select("id", "m.*")
+    o = t.grant_orphaned_abstracts.select(F.col("id").alias("key"), F.lower("title").alias("name"), F.col("start_date").alias("day"), F.col("dollar_amount").alias("amount"))
+    g = t.grants.select(F.col("record_id").alias("key"), F.lower("grantname").alias("name"), F.col("startdate").alias("day"), F.col("totaldollars").alias("amount"))
+    return op.best_compatible(o, g).select(F.col("key").alias("id"), F.col("other").alias("record_id"), F.bround("score", 4).alias("score"), F.col("days").cast("bigint").alias("days"))
 
 
 @R.add(
