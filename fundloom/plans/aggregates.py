@@ -16,7 +16,7 @@ QUERIES, SQL = R.QUERIES, R.SQL
 
 def _person(t: Tables) -> DataFrame:
     """Dollars and awards of each person."""
-    return _links(t).join(_award(t).select("grant_id", "totaldollars"), "grant_id").groupBy("faculty_id").agg(F.sum("totaldollars").alias("d"), one().alias("n"))
+    return _links(t).join(_award(t, "totaldollars").drop("record_id"), "grant_id").groupBy("faculty_id").agg(F.sum("totaldollars").alias("d"), one().alias("n"))
 
 
 PERSON = f"(SELECT faculty_id, sum(totaldollars) AS d, count(*) AS n FROM {LINKS} JOIN {AWARD} USING (grant_id) GROUP BY 1)"
@@ -152,7 +152,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("a19_dominant", "SELECT faculty_id, arg_min(code, (-n, code)) AS code, round_even(max(n) / sum(n), 6) AS share FROM (SELECT faculty_id, agencycode AS code, count(*) AS n FROM faculty_grants JOIN " + AWARD + " USING (grant_id) WHERE faculty_id <> '00000' GROUP BY 1, 2) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    l = t.faculty_grants.where("faculty_id <> '00000'").join(_award(t).select("grant_id", "agencycode"), "grant_id")
+    l = t.faculty_grants.where("faculty_id <> '00000'").join(_award(t, "agencycode").drop("record_id"), "grant_id")
     return resolve.vote(l, "faculty_id", "agencycode").select("faculty_id", F.col("winner").alias("code"), F.bround("share", 6).alias("share"))
 
 
@@ -222,7 +222,7 @@ def _(t: Tables) -> DataFrame:
 @R.add("a27_unit_collaboration", f"WITH u AS (SELECT grant_id, count(DISTINCT {UNIT}) AS k FROM {LINKS} JOIN faculty USING (faculty_id) GROUP BY 1) SELECT startdateyear AS year, count(*) FILTER (k >= 2) AS crossing, count(*) AS n, round_even(sum(totaldollars) FILTER (k >= 2), 2) AS dollars FROM u JOIN {AWARD} USING (grant_id) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     k = _links(t).join(t.faculty.select("faculty_id", UNIT), "faculty_id").groupBy("grant_id").agg(F.count_distinct(UNIT).alias("k"))
-    g = k.join(_award(t), "grant_id")
+    g = k.join(_award(t, "startdateyear", "totaldollars"), "grant_id")
     return g.groupBy(F.col("startdateyear").alias("year")).agg(F.count_if(F.col("k") >= 2).alias("crossing"), one().alias("n"), F.bround(F.sum(F.when(F.col("k") >= 2, F.col("totaldollars"))), 2).alias("dollars"))
 
 
@@ -236,7 +236,9 @@ def _(t: Tables) -> DataFrame:
 
     team = _links(t).groupBy("grant_id").agg(one().alias("team"))
     d = F.col("totaldollars")
-    return _award(t).join(team, "grant_id", "left").select("grant_id", F.col("agencycode").alias("ag"), F.coalesce("startdateyear", F.lit(-1)).alias("yr"), F.coalesce(band_left_closed(d, [50_000, 100_000, 500_000]), F.lit(-1)).alias("amt"), F.least(F.coalesce("team", F.lit(1)), F.lit(5)).alias("team"), (F.coalesce(F.trim("abstract"), F.lit("")) != "").alias("ab"))
+    # of an abstract only whether there is one goes into the aggregate
+    award = resolve.keep_first(t.grants.select("grant_id", "record_id", "agencycode", "startdateyear", "totaldollars", (F.coalesce(F.trim("abstract"), F.lit("")) != "").alias("ab")), ["grant_id"], [F.col("record_id")])
+    return award.join(team, "grant_id", "left").select("grant_id", F.col("agencycode").alias("ag"), F.coalesce("startdateyear", F.lit(-1)).alias("yr"), F.coalesce(band_left_closed(d, [50_000, 100_000, 500_000]), F.lit(-1)).alias("amt"), F.least(F.coalesce("team", F.lit(1)), F.lit(5)).alias("team"), "ab")
 
 
 @R.add(
@@ -244,7 +246,7 @@ def _(t: Tables) -> DataFrame:
     f"""SELECT faculty_id, count(*) AS n, round_even(coalesce(sum(totaldollars), 0), 2) AS amt, round_even(coalesce(sum(totaldollars) FILTER (NOT copi), 0), 2) AS amt_lead, CASE WHEN bool_and(copi) THEN 'partner' WHEN bool_or(copi) THEN 'both' ELSE 'lead' END AS role FROM {ROLES} JOIN {AWARD} USING (grant_id) GROUP BY 1""",
 )
 def _(t: Tables) -> DataFrame:
-    r = _roles(t).join(_award(t).select("grant_id", "totaldollars"), "grant_id")
+    r = _roles(t).join(_award(t, "totaldollars").drop("record_id"), "grant_id")
     return r.groupBy("faculty_id").agg(one().alias("n"), F.bround(F.coalesce(F.sum("totaldollars"), F.lit(0.0)), 2).alias("amt"), F.bround(F.coalesce(F.sum(F.when(~F.col("copi"), F.col("totaldollars"))), F.lit(0.0)), 2).alias("amt_lead"), F.when(F.bool_and("copi"), "partner").when(F.bool_or("copi"), "both").otherwise("lead").alias("role"))
 
 
@@ -270,7 +272,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     r = _roles(t)
     team = r.groupBy("grant_id").agg(one().alias("team"))
-    x = r.join(team, "grant_id").join(_award(t).select("grant_id", "totaldollars"), "grant_id").join(t.faculty.select("faculty_id", F.col(UNIT).alias("unit")), "faculty_id")
+    x = r.join(team, "grant_id").join(_award(t, "totaldollars").drop("record_id"), "grant_id").join(t.faculty.select("faculty_id", F.col(UNIT).alias("unit")), "faculty_id")
     s = lambda c: F.bround(F.coalesce(F.sum(c), F.lit(0.0)), 2)
     return x.groupBy("unit").agg(s(F.when(~F.col("copi"), F.col("totaldollars"))).alias("lead_only"), s(F.col("totaldollars")).alias("full_credit"), s(F.col("totaldollars") / F.col("team")).alias("fractional"))
 
@@ -397,7 +399,7 @@ def _(t: Tables) -> DataFrame:
 @R.add("a48_shared_or_alone", f"SELECT team > 1 AS shared, count(*) AS n, round_even(avg(totaldollars), 4) AS mean, round_even(median(totaldollars), 4) AS med FROM (SELECT grant_id, count(*) AS team FROM {LINKS} GROUP BY 1) JOIN {AWARD} USING (grant_id) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     team = _links(t).groupBy("grant_id").agg((one() > 1).alias("shared"))
-    return team.join(_award(t).select("grant_id", "totaldollars"), "grant_id").groupBy("shared").agg(one().alias("n"), F.bround(F.avg("totaldollars"), 4).alias("mean"), F.bround(F.median("totaldollars"), 4).alias("med"))
+    return team.join(_award(t, "totaldollars").drop("record_id"), "grant_id").groupBy("shared").agg(one().alias("n"), F.bround(F.avg("totaldollars"), 4).alias("mean"), F.bround(F.median("totaldollars"), 4).alias("med"))
 
 
 @R.add("a49_per_head", f"SELECT {UNIT} AS unit, round_even(sum(coalesce(d, 0)) / count(*), 2) AS per_person, round_even(sum(coalesce(d, 0)) / nullif(count(*) FILTER (lower(tenure_status) = 'tenured'), 0), 2) AS per_tenured FROM faculty LEFT JOIN {PERSON} USING (faculty_id) GROUP BY 1")
@@ -409,7 +411,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("a50_attribution", f"WITH b AS (SELECT DISTINCT neu_status, grant_id FROM faculty_grants), d AS (SELECT neu_status, count(*) AS n, round_even(sum(totaldollars), 2) AS dollars FROM b JOIN {AWARD} USING (grant_id) GROUP BY 1) SELECT * FROM d UNION ALL SELECT 'TOTAL', count(*), round_even(sum(totaldollars), 2) FROM (SELECT DISTINCT grant_id FROM b) JOIN {AWARD} USING (grant_id)")
 def _(t: Tables) -> DataFrame:
-    b = t.faculty_grants.select("neu_status", "grant_id").distinct().join(_award(t).select("grant_id", "totaldollars"), "grant_id")
+    b = t.faculty_grants.select("neu_status", "grant_id").distinct().join(_award(t, "totaldollars").drop("record_id"), "grant_id")
     d = b.groupBy("neu_status").agg(one().alias("n"), F.bround(F.sum("totaldollars"), 2).alias("dollars"))
     total = b.select("grant_id", "totaldollars").distinct().agg(one().alias("n"), F.bround(F.sum("totaldollars"), 2).alias("dollars")).select(F.lit("TOTAL").alias("neu_status"), "n", "dollars")
     return d.unionByName(total)
@@ -421,7 +423,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     l = t.faculty_grants.where("faculty_id <> '00000'").groupBy("faculty_id", "grant_id").agg(F.bool_or(F.col("neu_status") == "prior_institution").alias("prior"))
-    x = l.join(_award(t).select("grant_id", F.coalesce("totaldollars", F.lit(0.0)).alias("d")), "grant_id")
+    x = l.join(_award(t, "totaldollars").select("grant_id", F.coalesce("totaldollars", F.lit(0.0)).alias("d")), "grant_id")
     p = F.sum(F.when(F.col("prior"), F.col("d")).otherwise(0.0))
     s = F.sum("d")
     return x.groupBy("faculty_id").agg(F.bround(s, 2).alias("headline"), F.bround(F.sum(F.when(F.coalesce("prior", F.lit(False)), 0.0).otherwise(F.col("d"))), 2).alias("earned"), F.bround(100.0 * p / F.when(s != 0, s), 4).alias("prior_pct"))
@@ -429,7 +431,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("a52_unit_profile", f"SELECT unit, string_agg(agencycode, ', ' ORDER BY i) AS top3 FROM (SELECT {UNIT} AS unit, agencycode, row_number() OVER (PARTITION BY {UNIT} ORDER BY count(*) DESC, agencycode) AS i FROM {LINKS} JOIN {AWARD} USING (grant_id) JOIN faculty USING (faculty_id) GROUP BY 1, 2) WHERE i <= 3 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    n = _links(t).join(_award(t).select("grant_id", "agencycode"), "grant_id").join(t.faculty.select("faculty_id", F.col(UNIT).alias("unit")), "faculty_id").groupBy("unit", "agencycode").agg(one().alias("n"))
+    n = _links(t).join(_award(t, "agencycode").drop("record_id"), "grant_id").join(t.faculty.select("faculty_id", F.col(UNIT).alias("unit")), "faculty_id").groupBy("unit", "agencycode").agg(one().alias("n"))
     top = n.groupBy("unit").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "agencycode"))), 1, 3).alias("x"))
     return top.select("unit", F.array_join(F.col("x.agencycode"), ", ").alias("top3"))
 
@@ -454,7 +456,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("a56_missing_metadata", f"SELECT l.faculty_id, count(*) AS n, round_even(coalesce(sum(totaldollars), 0), 2) AS dollars FROM {LINKS} l LEFT JOIN {AWARD} g USING (grant_id) WHERE NOT EXISTS (SELECT 1 FROM faculty f WHERE f.faculty_id = l.faculty_id) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    l = _links(t).join(t.faculty.select("faculty_id"), "faculty_id", "left_anti").join(_award(t).select("grant_id", "totaldollars"), "grant_id", "left")
+    l = _links(t).join(t.faculty.select("faculty_id"), "faculty_id", "left_anti").join(_award(t, "totaldollars").drop("record_id"), "grant_id", "left")
     return l.groupBy("faculty_id").agg(one().alias("n"), F.bround(F.coalesce(F.sum("totaldollars"), F.lit(0.0)), 2).alias("dollars"))
 
 
@@ -470,7 +472,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("a59_unit_funding", f"SELECT {UNIT} AS unit, academic_unit AS dept, round_even(sum(totaldollars), 2) AS total, round_even(avg(totaldollars), 4) AS mean, round_even(median(totaldollars), 4) AS med, min(totaldollars) AS lo, max(totaldollars) AS hi, count(DISTINCT grant_id) AS awards, count(DISTINCT faculty_id) AS people FROM {LINKS} JOIN {AWARD} USING (grant_id) JOIN faculty USING (faculty_id) GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    x = _links(t).join(_award(t).select("grant_id", "totaldollars"), "grant_id").join(t.faculty.select("faculty_id", F.col(UNIT).alias("unit"), F.col("academic_unit").alias("dept")), "faculty_id")
+    x = _links(t).join(_award(t, "totaldollars").drop("record_id"), "grant_id").join(t.faculty.select("faculty_id", F.col(UNIT).alias("unit"), F.col("academic_unit").alias("dept")), "faculty_id")
     d = "totaldollars"
     return x.groupBy("unit", "dept").agg(F.bround(F.sum(d), 2).alias("total"), F.bround(F.avg(d), 4).alias("mean"), F.bround(F.median(d), 4).alias("med"), F.min(d).alias("lo"), F.max(d).alias("hi"), F.count_distinct("grant_id").alias("awards"), F.count_distinct("faculty_id").alias("people"))
 
@@ -541,14 +543,14 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("w5_top_k_per_group", f"SELECT agencycode, faculty_id, n FROM (SELECT agencycode, faculty_id, count(*) AS n FROM {LINKS} JOIN {AWARD} USING (grant_id) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY agencycode ORDER BY n DESC, faculty_id) <= 5")
 def _(t: Tables) -> DataFrame:
-    n = _links(t).join(_award(t).select("grant_id", "agencycode"), "grant_id").groupBy("agencycode", "faculty_id").agg(one().alias("n"))
+    n = _links(t).join(_award(t, "agencycode").drop("record_id"), "grant_id").groupBy("agencycode", "faculty_id").agg(one().alias("n"))
     w = Window.partitionBy("agencycode").orderBy(F.desc("n"), "faculty_id")
     return n.withColumn("i", F.row_number().over(w)).where("i <= 5").drop("i")
 
 
 @R.add("w6_year_span", f"SELECT faculty_id, max(startdateyear) - min(startdateyear) + 1 AS span FROM {LINKS} JOIN {AWARD} USING (grant_id) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return _links(t).join(_award(t).select("grant_id", "startdateyear"), "grant_id").groupBy("faculty_id").agg((F.max("startdateyear") - F.min("startdateyear") + 1).alias("span"))
+    return _links(t).join(_award(t, "startdateyear").drop("record_id"), "grant_id").groupBy("faculty_id").agg((F.max("startdateyear") - F.min("startdateyear") + 1).alias("span"))
 
 
 @R.add("w7_marginal_order", "SELECT agencycode, row_number() OVER (ORDER BY n DESC, agencycode) AS by_size, row_number() OVER (ORDER BY d DESC NULLS LAST, agencycode) AS by_dollars FROM (SELECT agencycode, count(*) AS n, sum(totaldollars) AS d FROM grants GROUP BY 1)")
@@ -603,7 +605,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("o6_unassigned_by_dollars", f"SELECT g.record_id, g.totaldollars FROM {AWARD} g WHERE NOT EXISTS (SELECT 1 FROM faculty_grants l WHERE l.grant_id = g.grant_id) ORDER BY totaldollars DESC NULLS LAST, record_id LIMIT 20")
 def _(t: Tables) -> DataFrame:
-    return _award(t).join(t.faculty_grants.select("grant_id"), "grant_id", "left_anti").select("record_id", "totaldollars").orderBy(F.desc_nulls_last("totaldollars"), "record_id").limit(20)
+    return _award(t, "totaldollars").join(t.faculty_grants.select("grant_id"), "grant_id", "left_anti").select("record_id", "totaldollars").orderBy(F.desc_nulls_last("totaldollars"), "record_id").limit(20)
 
 
 @R.add("o7_sort_by_parameter", "SELECT faculty_id, hire_date FROM faculty ORDER BY hire_date NULLS FIRST, faculty_id")
@@ -631,7 +633,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("u4_jaccard", f"WITH s AS (SELECT DISTINCT agencycode AS k, faculty_id AS m FROM {LINKS} JOIN {AWARD} USING (grant_id)), c AS (SELECT k, count(*) AS n FROM s GROUP BY 1) SELECT x.k AS a, y.k AS b, round_even(count(*) / (any_value(cx.n) + any_value(cy.n) - count(*)), 6) AS jaccard FROM s x JOIN s y ON x.m = y.m AND x.k < y.k JOIN c cx ON cx.k = x.k JOIN c cy ON cy.k = y.k GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
-    s = _links(t).join(_award(t).select("grant_id", F.col("agencycode").alias("k")), "grant_id").select("k", F.col("faculty_id").alias("m")).distinct()
+    s = _links(t).join(_award(t, "agencycode").select("grant_id", F.col("agencycode").alias("k")), "grant_id").select("k", F.col("faculty_id").alias("m")).distinct()
     c = s.groupBy("k").agg(one().alias("n"))
     p = resolve.unordered_pairs(s, "m", "k")
     p = p.join(c.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(c.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")

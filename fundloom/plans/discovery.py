@@ -58,7 +58,20 @@ def _(t: Tables) -> DataFrame:
     return _vocabulary(t)
 
 
-@R.add("m4_harvest")
+_HARVEST = (
+    _TERMS
+    + """, v AS (SELECT term, df, string_split(term, ' ') AS w FROM merged), dv AS (SELECT DISTINCT record_id, term FROM dt JOIN merged USING (term)),
+p3 AS (SELECT DISTINCT term AS long, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS term FROM v WHERE len(w) = 3),
+c3 AS (SELECT p.term, p.long, count(*) AS c FROM p3 p JOIN dv a ON a.term = p.term JOIN dv b ON b.term = p.long AND b.record_id = a.record_id GROUP BY 1, 2),
+gone3 AS (SELECT term FROM c3 JOIN v USING (term) WHERE len(w) = 2 GROUP BY term HAVING max(c) > 0.8 * any_value(df)),
+p2 AS (SELECT DISTINCT term AS long, unnest(w) AS term FROM v WHERE len(w) = 2 AND term NOT IN (SELECT term FROM gone3)),
+c2 AS (SELECT p.term, p.long, count(*) AS c FROM p2 p JOIN dv a ON a.term = p.term JOIN dv b ON b.term = p.long AND b.record_id = a.record_id GROUP BY 1, 2),
+gone2 AS (SELECT term FROM c2 JOIN v USING (term) WHERE len(w) = 1 GROUP BY term HAVING max(c) > 0.8 * any_value(df))
+SELECT term, df FROM v WHERE term NOT IN (SELECT term FROM gone3) AND term NOT IN (SELECT term FROM gone2)"""
+)
+
+
+@R.add("m4_harvest", _HARVEST)
 def _(t: Tables) -> DataFrame:
     v = materialize(_vocabulary(t), "vocabulary")
     terms = materialize(_terms(t).join(v.select("term"), "term"), "terms")
@@ -370,7 +383,7 @@ _E = f"(SELECT x.faculty_id AS a, y.faculty_id AS b, count(*) AS weight, sum(tot
 
 
 def _edges(t: Tables) -> DataFrame:
-    return graph.edges(_links(t).select(F.col("faculty_id").alias("person"), F.col("grant_id").alias("item")), _award(t).select(F.col("grant_id").alias("item"), F.col("totaldollars").alias("dollars"), F.col("startdateyear").alias("year")))
+    return graph.edges(_links(t).select(F.col("faculty_id").alias("person"), F.col("grant_id").alias("item")), _award(t, "totaldollars", "startdateyear").select(F.col("grant_id").alias("item"), F.col("totaldollars").alias("dollars"), F.col("startdateyear").alias("year")))
 
 
 @R.add("g1_edges", f"SELECT a, b, weight, round_even(dollars, 2) AS dollars, first_year, last_year FROM {_E}")
@@ -389,7 +402,12 @@ def _(t: Tables) -> DataFrame:
     return graph.degrees(_edges(t))
 
 
-@R.add("g4_page_rank")
+_RANKS = f"WITH d AS MATERIALIZED (SELECT a AS src, b AS dst, weight FROM {_E} UNION ALL SELECT b, a, weight FROM {_E}), o AS (SELECT src, sum(weight) AS total FROM d GROUP BY 1), step AS MATERIALIZED (SELECT src, dst, weight / total AS p FROM d JOIN o USING (src)), n AS (SELECT count(*)::DOUBLE AS n FROM o), r0 AS (SELECT src AS id, 1 / n AS rank FROM o, n)"
+for _i in range(10):
+    _RANKS += f", r{_i + 1} AS MATERIALIZED (SELECT dst AS id, 0.15 / any_value(n) + 0.85 * sum(rank * p) AS rank FROM step JOIN r{_i} ON id = src, n GROUP BY 1)"
+
+
+@R.add("g4_page_rank", _RANKS + " SELECT id, round_even(rank, 9) AS rank FROM r10")
 def _(t: Tables) -> DataFrame:
     return graph.page_rank(_edges(t), rounds=10).withColumn("rank", F.bround("rank", 9))
 

@@ -15,9 +15,9 @@ def n_():
     return F.count(F.lit(1)).alias("n")
 
 
-def _award(t: Tables) -> DataFrame:
-    """One row for each award: the row of the smallest record_id."""
-    return op.keep_first(t.grants.select("grant_id", "record_id", "totaldollars", "startdateyear", "agencycode", "agencyname", "grantname", "startdate", "abstract", "abstract_source"), ["grant_id"], [F.col("record_id")])
+def _award(t: Tables, *columns: str) -> DataFrame:
+    """One row for each award: the named columns of the row of the smallest record_id; only they are aggregated."""
+    return op.keep_first(t.grants.select("grant_id", "record_id", *columns), ["grant_id"], [F.col("record_id")])
 
 
 AWARD = "(SELECT * FROM grants QUALIFY row_number() OVER (PARTITION BY grant_id ORDER BY record_id) = 1)"
@@ -31,7 +31,7 @@ def _links(t: Tables) -> DataFrame:
 
 @R.add("j1_left_enrich", f"SELECT l.faculty_id, l.grant_id, g.totaldollars FROM {LINKS} l LEFT JOIN {AWARD} g USING (grant_id)")
 def _(t: Tables) -> DataFrame:
-    return _links(t).join(_award(t).select("grant_id", "totaldollars"), "grant_id", "left")
+    return _links(t).join(_award(t, "totaldollars").drop("record_id"), "grant_id", "left")
 
 
 @R.add("j2_inner", f"SELECT f.superior_academic_unit AS unit, count(*) AS n FROM {LINKS} l JOIN faculty f USING (faculty_id) GROUP BY 1")
@@ -160,7 +160,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     fill = t.grants.where("trim(abstract) <> ''").groupBy("grant_id").agg(F.max_by("abstract", "record_id").alias("fill"))
     own = F.coalesce(F.trim("abstract"), F.lit("")) == ""
-    return _award(t).select("grant_id", "abstract").join(fill, "grant_id", "left").select("grant_id", F.when(own, F.col("fill")).otherwise(F.col("abstract")).alias("abstract"))
+    return _award(t, "abstract").join(fill, "grant_id", "left").select("grant_id", F.when(own, F.col("fill")).otherwise(F.col("abstract")).alias("abstract"))
 
 
 @R.add(
@@ -190,7 +190,7 @@ def _(t: Tables) -> DataFrame:
 
 @R.add("j22_roster_zero_filled", f"SELECT f.faculty_id, coalesce(n, 0) AS n, coalesce(d, 0.0) AS dollars FROM faculty f LEFT JOIN (SELECT faculty_id, count(*) AS n, sum(totaldollars) AS d FROM {LINKS} JOIN {AWARD} USING (grant_id) GROUP BY 1) USING (faculty_id)")
 def _(t: Tables) -> DataFrame:
-    a = _links(t).join(_award(t), "grant_id").groupBy("faculty_id").agg(n_(), F.sum("totaldollars").alias("d"))
+    a = _links(t).join(_award(t, "totaldollars"), "grant_id").groupBy("faculty_id").agg(n_(), F.sum("totaldollars").alias("d"))
     return t.faculty.select("faculty_id").join(a, "faculty_id", "left").select("faculty_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("d", F.lit(0.0)).alias("dollars"))
 
 
