@@ -171,3 +171,42 @@ def test_near_names_equals_all_pairs(spark):
     for block in (2, 4096):
         assert sorted((r["a"], r["b"]) for r in resolve.near_names(left, right, "name", 80.0, block).collect()) == want
     assert ("soil  respiration in remote orchards", "soil respiration in remote orchards") in want and len(want) > 3
+
+
+def test_sweep_at_the_base_setting_equals_decide(spark):
+    from fundloom.operators import bm25
+    from fundloom.plans import taxonomy as tax
+
+    docs = [(1, "Sensor fusion with beamforming", "We use imaging arrays and motion capture."), (2, "Thin films", None), (3, "Nothing", "x"), (4, None, "Spike timing, spike timing and soil respiration. Jury decisions.")]
+    df = spark.createDataFrame(docs, "k int, t string, a string")
+    p = bm25.Parameters()
+    counts = bm25.term_counts(bm25.matches(df, "k", ["t", "a"], tax.taxonomy(spark)), "k", "t")
+    one = bm25.decide(df, bm25.leaf_scores(df, counts, "k", "t", "a", tax.taxonomy(spark), p), "k", "t", "a", tax.leaves(spark).select("leaf", "n_leaf_terms"), tax.PLACEHOLDERS, p)
+    want = {r["k"]: (r["leaf"], r["tier"]) for r in one.where("leaf >= 0").collect()}
+    found = bm25.sweep(df, counts, "k", "t", "a", tax.taxonomy(spark), [(p.k1, p.b, p.title), (2.0, 0.5, 1.0)], [1, p.high_terms], p)
+    got = {r["k"]: (r["leaf"], r["tier"]) for r in found.where((F.col("k1") == p.k1) & (F.col("high_terms") == p.high_terms) & (F.col("leaf") >= 0)).collect()}
+    assert want and got == want
+    gold = spark.createDataFrame([(1, 0), (2, 1), (4, 0)], "k int, answer int")
+    rows = bm25.adopt(found, gold, "k", "answer", (p.k1, p.b, p.title, p.high_terms)).collect()
+    assert len(rows) == 4 and not any(r["adopt"] for r in rows) and {r["accuracy"] for r in rows} == {0.666667}
+
+
+def test_choice_of_k_and_stability_of_terms(spark):
+    from fundloom.operators import vocabulary as voc
+
+    sweep = spark.createDataFrame([(4, 0.9), (6, 0.3), (8, 0.3)], "k int, silhouette double")
+    assert voc.choose_k(sweep, 5, 9).first()[:] == (6, 0.3, False) and voc.choose_k(sweep, 20, 30).first()[:] == (4, 0.9, True)
+    full = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c")], "topic string, term string")
+    fits = spark.createDataFrame([(0, "p", "a"), (0, "p", "b"), (0, "q", "c"), (1, "p", "a"), (1, "p", "z")], "fit int, topic string, term string")
+    got = {(r["topic"], r["term"]): r["stable"] for r in voc.term_stability(full, fits, 2).collect()}
+    assert got == {("x", "a"): 1.0, ("x", "b"): 0.5, ("y", "c"): 0.5}
+
+
+def test_filter_within_its_bound_stays_exact(spark, monkeypatch):
+    from fundloom.operators import references
+
+    monkeypatch.setattr(references, "MOST_BLOCKS", 1)  # nearly every key passes such a filter
+    at = "timestamp'2020-01-01'"
+    refs = spark.range(400).selectExpr("'t' target", "cast(id as string) key", f"{at} at", "id AS n")
+    parents = spark.range(0, 400, 2).selectExpr("'t' target", "cast(id as string) key", f"{at} since", "cast(null as timestamp) until")
+    assert sorted(r["n"] for r in references.missing_references(refs, parents).collect()) == list(range(1, 400, 2))
