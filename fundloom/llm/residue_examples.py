@@ -1,7 +1,8 @@
 """Labelled examples for the residue models: what forms, exports and web pages leave behind.
 
-Written from what browsers, servers, programs, spreadsheets and public forms are known to say; no
-sentence stands in the tables the operator is tested on, short stock words such as "tbd" apart.
+Messages of browsers, servers, programs, spreadsheets and forms. No sentence of 25 characters or more
+stands in the large test tables, but many were written with the losses on these tables in view, and some
+paraphrase what stands there; see the README.
 """
 
 # Running filler.
