@@ -181,9 +181,16 @@ def lda_bags(docs: DataFrame, key: str, text: str, stops: list[str], low: int =
 
 
 def lda_counts(docs: DataFrame, bag: str = "bag", min_df: float = 15, max_df: float = 0.6):
-    """The vectoriser of a bag of terms: every term within the bounds of document frequency (the bounds, not a size, limit it)."""
+    """The vectoriser of a bag of terms: every term within the bounds of document frequency (the bounds, not a size, limit it).
+
+    None where no term is within the bounds, as in a corpus of fewer than min_df documents.
+    """
     from pyspark.ml.feature import CountVectorizer
 
+    n = docs.count()
+    df = docs.select(F.explode(F.array_distinct(bag)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).isEmpty():
+        return None
     return CountVectorizer(inputCol=bag, outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=2**30).fit(docs)
 
 

@@ -287,7 +287,12 @@ def _(t: Tables) -> DataFrame:
     return t.grants.select("record_id", text.unescape(F.col("abstract")).alias("plain"))
 
 
-_TITLE = "coalesce(" + _BLANKS.format("regexp_replace(" + _sub("name", *text.MARKUP) + f", '{text.program_pattern()}', '')") + ", '')"
+def _title(c: str) -> str:
+    """SQL: clean title of a text whose entities are put back."""
+    return "coalesce(" + _BLANKS.format("regexp_replace(" + _sub(c, *text.MARKUP) + f", '{text.program_pattern()}', '')") + ", '')"
+
+
+_TITLE = _title("name")
 
 
 @R.add("text_x2_title_clean", f"SELECT record_id, {_TITLE} AS title FROM {_GRANTS}")

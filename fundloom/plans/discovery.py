@@ -238,12 +238,16 @@ def _lda_counts(t: Tables):
     long = t.grants.where((F.length(F.trim("abstract")) >= 200) & (F.size(F.split(tx.letters_only(F.col("abstract")), " ")) >= 40))
     bags = materialize(voc.lda_bags(long, "record_id", "abstract", DOMAIN_STOPS), "bags")
     vec = voc.lda_counts(bags)
+    if vec is None:  # nothing to fit
+        return None, None
     return vec, vec.transform(bags).select("record_id", "features")
 
 
 @R.add("m24_lda_topics")
 def _(t: Tables) -> DataFrame:
     vec, x = _lda_counts(t)
+    if vec is None:
+        return t.spark.createDataFrame([], "topic int, terms string")
     words = t.spark.createDataFrame(list(enumerate(vec.vocabulary)), "i int, term string")
     top = voc.lda_fit(x, LDA_K).describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "i"))
     told = top.join(words, "i").groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("r"))
@@ -253,13 +257,13 @@ def _(t: Tables) -> DataFrame:
 @R.add("m25_lda_vocabulary")
 def _(t: Tables) -> DataFrame:
     vec, _ = _lda_counts(t)
-    return t.spark.createDataFrame(list(enumerate(vec.vocabulary)), "i int, term string")
+    return t.spark.createDataFrame(list(enumerate(vec.vocabulary)) if vec else [], "i int, term string")
 
 
 @R.add("m26_perplexity")
 def _(t: Tables) -> DataFrame:
     _, x = _lda_counts(t)
-    return t.spark.createDataFrame(voc.perplexities(x, [5, 6, 7, 8, 9, 10, 12]), "k int, log_perplexity double")
+    return t.spark.createDataFrame(voc.perplexities(x, [5, 6, 7, 8, 9, 10, 12]) if x is not None else [], "k int, log_perplexity double")
 
 
 _TOP = _TERMS + ", topw AS (SELECT g AS topic, term FROM ct QUALIFY row_number() OVER (PARTITION BY g ORDER BY round_even(ctfidf, 10) DESC, term) <= 6), d AS (SELECT DISTINCT record_id, term FROM dt), n AS (SELECT term, count(*) AS n FROM d GROUP BY 1), co AS (SELECT x.topic, x.term AS a, y.term AS b, (SELECT count(*) FROM d d1 JOIN d d2 ON d1.record_id = d2.record_id WHERE d1.term = x.term AND d2.term = y.term) AS n_ab, nx.n AS n_a, ny.n AS n_b FROM topw x JOIN topw y ON x.topic = y.topic AND x.term < y.term JOIN n nx ON nx.term = x.term JOIN n ny ON ny.term = y.term)\n"
@@ -374,6 +378,8 @@ def _(t: Tables) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     _, x = _lda_counts(t)
+    if x is None:
+        return t.spark.createDataFrame([], "record_id bigint, topic bigint, prob double")
     d = voc.lda_fit(x, LDA_K).transform(x).select("record_id", vector_to_array("topicDistribution").alias("p"))
     return d.select("record_id", (F.array_position("p", F.array_max("p")) - 1).alias("topic"), F.bround(F.array_max("p"), 6).alias("prob"))
 
