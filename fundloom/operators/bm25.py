@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.functions import text as tx
-from fundloom.session import BROADCAST_ROWS, broadcast_if_small, spread
+from fundloom.session import BROADCAST_ROWS, broadcast_if_small, materialize, spread
 
 TIERS = ("exact", "collapsed", "stem")
 
@@ -129,11 +132,14 @@ def decide(docs: DataFrame, scores: DataFrame, key: str, title: str, rest: str,
     )
 
 
-def sweep(docs: DataFrame, counts: DataFrame, key: str, title: str, rest: str, taxonomy: DataFrame, settings: list[tuple[float, float, float]], high_terms: list[int], p: Parameters) -> DataFrame:
-    """Decisions of every document under each setting (k1, b, title weight) and least number of terms of the high tier.
+_SETTING, _SWEPT_TIERS = ["k1", "b", "title", "high_terms"], ("none", "low", "medium", "high")
 
-    Returns k1, b, title, high_terms, key, leaf (-1: none), tier. The matches are counted once; all settings are
-    scored in one job. A document without a term has no row.
+
+def _swept(docs: DataFrame, counts: DataFrame, key: str, title: str, rest: str, taxonomy: DataFrame, settings: list[tuple[float, float, float]], high_terms: list[int], p: Parameters) -> DataFrame:
+    """One row for each document with a term: key, its leaf under each setting (_leaf), its tier under each setting and number of terms (_tier).
+
+    Settings multiply nothing that is shuffled: the terms of a document meet once, and each batch of documents is
+    scored under all settings on arrays.
     """
     size = lambda c: F.size(tx.tokens(F.col(c)))
     lengths = docs.select(key, size(title).alias("lt"), size(rest).alias("lr"))
@@ -142,33 +148,91 @@ def sweep(docs: DataFrame, counts: DataFrame, key: str, title: str, rest: str, t
     weighed = taxonomy.join(df, "term", "left").fillna(0, "df").join(F.broadcast(corpus), F.lit(True)).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
     norm = weighed.where("weight > 0").groupBy("leaf").agg(F.sum(F.col("weight") * F.col("idf")).alias("mass")).select("leaf", F.when(F.col("mass") > 0, F.pow("mass", F.lit(p.alpha))).otherwise(1.0).alias("norm"))
     terms = weighed.select("leaf", "term", "weight", "idf", "mt", "mr").join(norm, "leaf")
-    grid = F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(w).alias("title")) for k1, b, w in settings])
-    x = counts.join(terms, "term").join(lengths, key).withColumn("g", F.explode(grid))
-    w = F.col("g.title")
-    tf, length, mean = w * F.col("tf_title") + F.col("tf_rest"), w * F.col("lt") + F.col("lr"), w * F.col("mt") + F.col("mr")
-    d = tf + F.col("g.k1") * (1 - F.col("g.b") + F.col("g.b") * F.when(mean > 0, length / mean).otherwise(0.0))
-    part = F.col("weight") * F.col("idf") * tf * (F.col("g.k1") + 1) / d
-    scores = x.groupBy("g", key, "leaf").agg((F.sum(part) / F.max("norm")).alias("score"), F.count_if(F.col("weight") > 0).alias("n"))
-    n_leaves = taxonomy.select("leaf").distinct().count()
-    top = scores.groupBy("g", key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "leaf", "n"))).alias("r"))  # a taxonomy's leaves
-    s1, n = -F.element_at("r", 1)["s"], F.element_at("r", 1)["n"]
-    second = F.coalesce(-F.try_element_at("r", F.lit(2))["s"], F.lit(0.0))
-    s2 = F.when(F.size("r") < n_leaves, F.greatest(second, F.lit(0.0))).otherwise(second)
-    told = top.select("g.*", key, F.element_at("r", 1)["leaf"].alias("leaf"), s1.alias("s1"), ((s1 - s2) / s1).alias("margin"), n.alias("n"), F.explode(F.array(*[F.lit(h) for h in high_terms])).alias("high_terms"))
-    given = F.col("s1") > 0
-    tier = F.when(~given, "none").when((F.col("margin") >= p.high_margin) & (F.col("n") >= F.col("high_terms")), "high").when((F.col("margin") >= p.medium_margin) & (F.col("n") >= 1), "medium").otherwise("low")
-    return told.select("k1", "b", "title", "high_terms", key, F.when(given, F.col("leaf")).otherwise(-1).alias("leaf"), tier.alias("tier"))
+    names = ("leaf", "weight", "idf", "norm", "tf_title", "tf_rest")
+    told = F.array_sort(F.collect_list(F.struct("leaf", "term", *names[1:])))  # a taxonomy's terms at most
+    met = counts.join(terms, "term").groupBy(key).agg(told.alias("_e"), F.max("mt").alias("mt"), F.max("mr").alias("mr"))
+    met = met.join(lengths, key).select(key, "lt", "lr", "mt", "mr", *[F.col(f"_e.{c}").alias(c) for c in names])
+    ids = np.array(sorted(r[0] for r in taxonomy.select("leaf").distinct().collect()))  # a taxonomy's leaves
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if x.empty:
+                continue
+            n = len(x)
+            row = np.repeat(np.arange(n), x["leaf"].map(len))
+            leaf, weight, own, mass, in_title, in_rest = (np.concatenate(x[c].to_numpy()) for c in names)
+            cell = row * len(ids) + np.searchsorted(ids, leaf)
+            grid = lambda v: np.bincount(cell, v, n * len(ids)).reshape(n, len(ids))
+            hit, positive, divisor = grid(None) > 0, grid((weight > 0) * 1.0), np.ones(n * len(ids))
+            divisor[cell] = mass
+            divisor = divisor.reshape(n, len(ids))
+            lt, lr, mt, mr = (x[c].to_numpy(float) for c in ("lt", "lr", "mt", "mr"))
+            leaves, tiers, at, few = [], [], np.arange(n), hit.sum(1) < len(ids)
+            for k1, b, w in settings:
+                length, mean = w * lt + lr, w * mt + mr
+                share = np.divide(length, mean, out=np.zeros(n), where=mean > 0)
+                tf = w * in_title + in_rest
+                part = weight * own * tf * (k1 + 1) / (tf + k1 * (1 - b + b * share[row]))
+                score = np.where(hit, grid(part) / divisor, -np.inf)
+                one = score.argmax(1)  # the smallest leaf on ties
+                s1, terms_ = score[at, one], positive[at, one]
+                score[at, one] = -np.inf
+                s2 = score.max(1)
+                s2 = np.where(few, np.maximum(s2, 0.0), s2)  # a leaf without a term has the score 0
+                given = s1 > 0
+                margin = np.divide(s1 - s2, s1, out=np.zeros(n), where=given)
+                leaves.append(np.where(given, ids[one], -1))
+                tiers += [np.select([~given, (margin >= p.high_margin) & (terms_ >= h), (margin >= p.medium_margin) & (terms_ >= 1)], [0, 3, 2], 1) for h in high_terms]
+            yield pd.DataFrame({key: x[key], "_leaf": list(np.stack(leaves, 1).astype("int32")), "_tier": list(np.stack(tiers, 1).astype("int8"))})
+
+    return met.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, _leaf array<int>, _tier array<tinyint>")
+
+
+def _told(settings: list[tuple[float, float, float]], high_terms: list[int]) -> list[Column]:
+    """The columns of a setting by its place (_i) in the tiers of _swept()."""
+    own = F.floor(F.col("_i") / len(high_terms)).cast("int") + 1
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), i)
+    return [*(pick(v, own).alias(c) for c, v in zip(_SETTING, zip(*settings))), pick(high_terms, F.col("_i") % len(high_terms) + 1).alias("high_terms")]
+
+
+def _exploded(swept: DataFrame, high_terms: list[int], *columns: str) -> DataFrame:
+    """A row for each place in the tiers of _swept(): the columns, _i, leaf, tier (its place in _SWEPT_TIERS)."""
+    x = swept.select(*columns, "_leaf", F.posexplode("_tier").alias("_i", "tier"))
+    return x.select(*columns, "_i", F.element_at("_leaf", F.floor(F.col("_i") / len(high_terms)).cast("int") + 1).alias("leaf"), "tier")
+
+
+def sweep(docs: DataFrame, counts: DataFrame, key: str, title: str, rest: str, taxonomy: DataFrame, settings: list[tuple[float, float, float]], high_terms: list[int], p: Parameters) -> DataFrame:
+    """Decisions of every document under each setting (k1, b, title weight) and least number of terms of the high tier.
+
+    Returns k1, b, title, high_terms, key, leaf (-1: none), tier. The matches are counted once; all settings are
+    scored in one job. A document without a term has no row.
+    """
+    x = _exploded(_swept(docs, counts, key, title, rest, taxonomy, settings, high_terms, p), high_terms, key)
+    return x.select(*_told(settings, high_terms), key, "leaf", F.element_at(F.array(*map(F.lit, _SWEPT_TIERS)), F.col("tier").cast("int") + 1).alias("tier"))
+
+
+def sweep_adopted(docs: DataFrame, counts: DataFrame, key: str, title: str, rest: str, taxonomy: DataFrame, settings: list[tuple[float, float, float]], high_terms: list[int], p: Parameters, gold: DataFrame, answer: str) -> DataFrame:
+    """adopt() of sweep() with the settings of p as baseline; the gold rows are joined before the settings are spread out, so those cross no shuffle."""
+    swept = _swept(docs, counts, key, title, rest, taxonomy, settings, high_terms, p).join(gold.where(F.col(answer).isNotNull()), key, "left")
+    x = materialize(_exploded(swept, high_terms, answer).groupBy("_i").agg(*_tally(answer, F.col("tier") == 3)), "tallies")  # used twice
+    return _adopted(x.select(*_told(settings, high_terms), "assigned", "high", "hits"), gold, answer, (p.k1, p.b, p.title, p.high_terms))
+
+
+def _tally(answer: str, high: Column) -> list[Column]:
+    return [F.count_if(F.col("leaf") >= 0).alias("assigned"), F.count_if(high).alias("high"), F.count_if(F.col("leaf") == F.col(answer)).alias("hits")]
+
+
+def _adopted(x: DataFrame, gold: DataFrame, answer: str, baseline: tuple[float, float, float, int]) -> DataFrame:
+    x = x.withColumn("n", F.lit(gold.where(F.col(answer).isNotNull()).count()))
+    lo, hi = wilson(F.col("hits"), F.col("n"))
+    base = x.where((F.col("k1") == baseline[0]) & (F.col("b") == baseline[1]) & (F.col("title") == baseline[2]) & (F.col("high_terms") == baseline[3])).select((F.col("hits") / F.col("n")).alias("base"), ((hi - lo) / 2).alias("half"))
+    return x.join(F.broadcast(base), F.lit(True)).select(*_SETTING, "assigned", "high", F.bround(F.col("hits") / F.col("n"), 6).alias("accuracy"), (F.col("hits") / F.col("n") > F.col("base") + F.col("half")).alias("adopt"))
 
 
 def adopt(found: DataFrame, gold: DataFrame, key: str, answer: str, baseline: tuple[float, float, float, int]) -> DataFrame:
     """Accuracy of each setting of sweep() on gold rows, and whether it beats the baseline's by half its Wilson interval."""
-    setting = ["k1", "b", "title", "high_terms"]
-    n_gold = gold.where(F.col(answer).isNotNull()).count()
     hit = found.join(gold.where(F.col(answer).isNotNull()), key, "left")
-    x = hit.groupBy(*setting).agg(F.count_if(F.col("leaf") >= 0).alias("assigned"), F.count_if(F.col("tier") == "high").alias("high"), F.count_if(F.col("leaf") == F.col(answer)).alias("hits")).withColumn("n", F.lit(n_gold))
-    lo, hi = wilson(F.col("hits"), F.col("n"))
-    base = x.where((F.col("k1") == baseline[0]) & (F.col("b") == baseline[1]) & (F.col("title") == baseline[2]) & (F.col("high_terms") == baseline[3])).select((F.col("hits") / F.col("n")).alias("base"), ((hi - lo) / 2).alias("half"))
-    return x.join(F.broadcast(base), F.lit(True)).select(*setting, "assigned", "high", F.bround(F.col("hits") / F.col("n"), 6).alias("accuracy"), (F.col("hits") / F.col("n") > F.col("base") + F.col("half")).alias("adopt"))
+    return _adopted(hit.groupBy(*_SETTING).agg(*_tally(answer, F.col("tier") == "high")), gold, answer, baseline)
 
 
 def taxonomy_faults(taxonomy: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -189,6 +253,7 @@ def taxonomy_faults(taxonomy: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def wilson(hits: Column, n: Column, z: float = 1.959964) -> tuple[Column, Column]:
     """Bounds of the Wilson interval of a share."""
+    n = n.cast("double")  # the square of a whole number overflows
     p = hits / n
     mid, half, d = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
     return (mid - half) / d, (mid + half) / d

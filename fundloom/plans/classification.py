@@ -245,8 +245,7 @@ def _(t: Tables) -> DataFrame:
 
     counts = materialize(_counts(t), "sweep")
     settings = [(k1, b, w) for k1 in (1.2, 1.5, 2.0) for b in (0.5, 0.75, 0.9) for w in (1.0, 1.5, 2.0, 3.0)]
-    found = bm25.sweep(_docs(t), counts, "record_id", "grantname", "abstract", tax.taxonomy(t.spark), settings, [1, 2, 3], P)
-    return bm25.adopt(found, _review(t), "record_id", "answer", (P.k1, P.b, P.title, P.high_terms))
+    return bm25.sweep_adopted(_docs(t), counts, "record_id", "grantname", "abstract", tax.taxonomy(t.spark), settings, [1, 2, 3], P, _review(t), "answer")
 
 
 @R.add("t26_similarity")

@@ -191,6 +191,25 @@ def test_sweep_at_the_base_setting_equals_decide(spark):
     assert len(rows) == 4 and not any(r["adopt"] for r in rows) and {r["accuracy"] for r in rows} == {0.666667}
 
 
+def test_adoption_over_more_gold_rows_than_squares_of_int_hold(spark):
+    found = spark.createDataFrame([(1.2, 0.75, 2.0, 3, 1, 0, "high")], "k1 double, b double, title double, high_terms int, k int, leaf int, tier string")
+    gold = spark.range(30_000).selectExpr("cast(id as int) k", "0 answer")
+    row = bm25.adopt(found, gold, "k", "answer", (1.2, 0.75, 2.0, 3)).first()
+    assert (row["assigned"], row["high"], row["accuracy"], row["adopt"]) == (1, 1, 0.000033, False)
+
+
+def test_sweep_adopted_equals_adoption_of_the_sweep(spark):
+    from fundloom.plans import taxonomy as tax
+
+    docs = [(i, ["Sensor fusion with beamforming", "Thin films", "Spike timing"][i % 3], [None, "Soil respiration and coral bleaching.", "Jury decisions, thin films."][i // 3 % 3]) for i in range(18)]
+    df, gold = spark.createDataFrame(docs, "k int, t string, a string"), spark.createDataFrame([(i, [0, 1, None][i % 3]) for i in range(12)], "k int, answer int")
+    p, settings = bm25.Parameters(), [(1.2, 0.75, 2.0), (2.0, 0.5, 1.0)]
+    counts = bm25.term_counts(bm25.matches(df, "k", ["t", "a"], tax.taxonomy(spark)), "k", "t")
+    args = (df, counts, "k", "t", "a", tax.taxonomy(spark), settings, [1, 3], p)
+    want = bm25.adopt(bm25.sweep(*args), gold, "k", "answer", (p.k1, p.b, p.title, p.high_terms)).collect()
+    assert len(want) == 4 and sorted(bm25.sweep_adopted(*args, gold, "answer").collect()) == sorted(want)
+
+
 def test_choice_of_k_and_stability_of_terms(spark):
     from fundloom.operators import vocabulary as voc
 
