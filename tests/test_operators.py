@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +141,44 @@ def test_graph(spark):
         graph.betweenness(e, most_edges=3)
 
 
+def test_betweenness_by_levels_equals_that_along_distances(spark):
+    rng = np.random.default_rng(11)
+    pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, 60, (150, 2)) if p[0] != p[1]} | {(0, i) for i in range(1, 40)} | {(i, i + 1) for i in range(60, 80)} | {(90, 91)}
+    e = spark.createDataFrame([(f"v{a:02d}", f"v{b:02d}", 1) for a, b in sorted(pairs)], "a string, b string, weight int")
+    by_level, along = ({r["id"]: r["betweenness"] for r in graph.betweenness(e, distance=d).collect()} for d in (None, "weight"))
+    assert set(by_level) == set(along) == {f"v{x:02d}" for p in pairs for x in p} and by_level == pytest.approx(along, abs=1e-12)
+    assert graph.betweenness(e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wide", [3, 1024])
+def test_dependencies_of_a_wide_graph(monkeypatch, wide):
+    monkeypatch.setattr(graph._Graph, "WIDE", wide)
+    n, rng = 40, np.random.default_rng(2)
+    a, b = np.triu_indices(n, 1)
+    some = rng.random(len(a)) < 0.2
+    g, near = graph._Graph(n, a[some], b[some]), [[] for _ in range(n)]
+    for x, y in zip(a[some].tolist(), b[some].tolist()):
+        near[x].append((y, 1.0))
+        near[y].append((x, 1.0))
+    want = np.zeros(n)
+    for s in range(n):
+        order, before, paths = graph._shortest(near, s)
+        part = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in before[v]:
+                part[u] += paths[u] / paths[v] * (1 + part[v])
+            want[v] += part[v] * (v != s)
+    assert g.dependencies(np.arange(n)) == pytest.approx(want[g.order])
+
+
+def test_betweenness_takes_more_edges_than_a_broadcast_has_rows(spark):
+    a, b = np.triu_indices(640, 1)
+    ids = np.array([f"v{i:03d}" for i in range(640)])
+    e = spark.createDataFrame(pd.DataFrame({"a": ids[a], "b": ids[b]}))
+    got = graph.betweenness(e).agg(F.count(F.lit(1)).alias("n"), F.max("betweenness").alias("most")).first()
+    assert len(a) > 200_000 and (got["n"], got["most"]) == (640, 0.0)
+
+
 def test_clusters_and_vocabulary(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(c, 0.05, (12, 4)) for c in np.eye(4)[:3]])
