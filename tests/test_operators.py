@@ -212,6 +212,35 @@ def test_near_names_equals_all_pairs(spark):
     assert ("soil  respiration in remote orchards", "soil respiration in remote orchards") in want and len(want) > 3
 
 
+def test_common_subsequences_of_many_pairs_equal_single_ones():
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abc xé") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 127, 128, 129, 200])))
+    a, b = [text() for _ in range(25)], [text() for _ in range(25)]
+    i, j = (x.ravel() for x in np.meshgrid(range(25), range(25)))
+    got = resolve._Common(a, b).lengths(i, j, together=100)
+    assert [200.0 * n / (len(a[x]) + len(b[y])) if a[x] and b[y] else 0.0 for n, x, y in zip(got, i, j)] == [resolve._indel(a[x], b[y]) if a[x] and b[y] else 0.0 for x, y in zip(i, j)]
+
+
+def test_near_names_scores_few_pairs_one_by_one(monkeypatch):
+    rng, calls = random.Random(4), []
+    words = "soil reef coral spike film jury town cell graph noise river delta".split()
+    a, b = ([" ".join(rng.choice(words) for _ in range(8)) for _ in range(n)] for n in (70, 300))
+    want = {(x, y) for x in a for y in b if min(resolve._indel(x, y), resolve.token_set(x, y)) >= 70}
+    own = resolve._indel
+    monkeypatch.setattr(resolve, "_indel", lambda x, y: calls.append(1) or own(x, y))
+    got = {(x, y): s for x, y, s in resolve._near_names(a, b, 70.0)}
+    assert want and set(got) == want and len(calls) < 0.25 * len(a) * len(b)
+    best = {x: max(s for (p, _), s in got.items() if p == x) for x, _ in got}
+    less = {(x, y): s for x, y, s in resolve._near_names(a, b, 70.0, slack=5.0)}
+    assert all(less[p] == s for p, s in got.items() if s >= best[p[0]] - 5.0)
+
+
+def test_blocks_of_pairs_are_spread_over_tasks(spark):
+    names = spark.range(3000).selectExpr("concat('soil respiration ', id) name")
+    found = resolve.near_names(names, names.limit(10), "name", 99.0)
+    assert found.rdd.getNumPartitions() > 4
+
+
 def test_sweep_at_the_base_setting_equals_decide(spark):
     from fundloom.operators import bm25
     from fundloom.plans import taxonomy as tax
