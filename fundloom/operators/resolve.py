@@ -274,47 +274,68 @@ def _words(name: str) -> tuple[frozenset[str], int]:
     return w, sum(map(len, w)) + max(0, len(w) - 1)
 
 
+def _best_of_block(x: pd.DataFrame, y: pd.DataFrame, least: float, days: int, share: float) -> pd.DataFrame:
+    """best_compatible() of two blocks: key, other, score, days."""
+    rows = []
+    if len(x) and len(y):
+        names, mine = list(y["name"]), list(x["name"])
+        text = lambda n: " ".join(_words(n)[0])
+        own, theirs = _shared_letters(_letters([text(n) for n in mine]), _letters([text(n) for n in names]))
+        size = np.array([_words(n)[1] for n in names])
+        stands: dict[str, list[int]] = {}
+        for i, n in enumerate(names):
+            for w in _words(n)[0]:
+                stands.setdefault(w, []).append(i)
+        places = {w: np.array(at) for w, at in stands.items()}
+        day, amount, keys = y["day"].to_numpy(float), y["amount"].to_numpy(float), list(y["key"])
+        for at, (key, name, d, a) in enumerate(zip(x["key"], mine, x["day"], x["amount"])):
+            if at % 64 == 0:
+                letters = own[at : at + 64] @ theirs.T
+            far, off = np.abs(day - d), np.abs(amount - a)
+            may = np.flatnonzero(~(far > days) & ~(off > share * amount))
+            words, length = _words(name)
+            same = np.zeros(len(names))  # length of the text of the shared words
+            for w in words:
+                if w in places:
+                    same[places[w]] += len(w) + 1
+            same = np.maximum(same[may] - 1, 0)
+            # all words against all by their letters, or the shared ones against the shorter side
+            bound = np.maximum(200.0 * letters[at % 64][may] / (length + size[may]), 200.0 * same / (same + np.minimum(size[may], length)))
+            may, bound = may[bound >= least - 1e-6], bound[bound >= least - 1e-6]
+            best, floor = None, least
+            for i in np.argsort(-bound, kind="stable"):
+                if bound[i] < floor - 1e-6:
+                    break
+                j = may[i]
+                score = token_set(name, names[j])
+                if score >= floor:
+                    rank = (-score, 1e9 if np.isnan(far[j]) else far[j], keys[j])
+                    if best is None or rank < best:
+                        best, floor = rank, max(floor, score)
+            if best:
+                rows.append((key, best[2], -best[0], None if best[1] == 1e9 else best[1]))
+    return pd.DataFrame(rows, columns=["key", "other", "score", "days"]).astype({"score": "float64", "days": "float64"})
+
+
 def best_compatible(left: DataFrame, right: DataFrame, least: float = 85.0, days: int = 365, share: float = 0.15, block: int = 2048) -> DataFrame:
     """For each left row the best right row of like name that its date and amount don't rule out: key, other, score, days.
 
     Columns: key, name, day (date), amount. Names are alike by token_set >= least; dates must lie within
     `days`, amounts within `share` of the right one, and what is missing (or an amount not above 0) rules nothing out. The
     best has the highest score, then the closest date, then the smallest key. Every block of left meets every block of
-    right; within a block dates, amounts and a bound of the score (common letters) are tested on arrays, and
+    right; within a block dates, amounts and a bound of the score (common letters and shared words) are tested on arrays, and
     only the pairs that pass are scored. NULL and blank names have no match.
     """
     sides = [x.where(F.trim("name") != "").select("key", "name", F.datediff("day", F.lit("1970-01-01")).cast("double").alias("day"), F.when(F.col("amount") > 0, F.col("amount")).cast("double").alias("amount")).distinct() for x in (left, right)]
-    parts = [max(1, -(-x.count() // size)) for x, size in zip(sides, (block, 8 * block))]
+    parts, tasks = _blocks(sides, block, 8)
     one, two = (x.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))) for x, n, m, own, other in zip(sides, parts, parts[::-1], "ij", "ji"))
     kind, other_kind = left.schema["key"].dataType.simpleString(), right.schema["key"].dataType.simpleString()
     out = f"key {kind}, other {other_kind}, score double, days double"
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(x) and len(y):
-            names = list(y["name"])
-            theirs, size = _letters([" ".join(_words(n)[0]) for n in names]), np.array([_words(n)[1] for n in names])
-            day, amount, keys = y["day"].to_numpy(float), y["amount"].to_numpy(float), list(y["key"])
-            for key, name, d, a in zip(x["key"], x["name"], x["day"], x["amount"]):
-                far, off = np.abs(day - d), np.abs(amount - a)
-                may = np.flatnonzero(~(far > days) & ~(off > share * amount))
-                own = _letters([" ".join(_words(name)[0])])[0]
-                both = np.minimum(theirs[may], own).sum(1)
-                bound = 200.0 * both / np.maximum(1, both + np.minimum(size[may], _words(name)[1]))  # shared words against the shorter side
-                best, floor = None, least
-                for i in np.argsort(-bound, kind="stable"):
-                    if bound[i] < floor - 1e-6:
-                        break
-                    j = may[i]
-                    score = token_set(name, names[j])
-                    if score >= floor:
-                        rank = (-score, 1e9 if np.isnan(far[j]) else far[j], keys[j])
-                        if best is None or rank < best:
-                            best, floor = rank, max(floor, score)
-                if best:
-                    rows.append((key, best[2], -best[0], None if best[1] == 1e9 else best[1]))
-        return pd.DataFrame(rows, columns=["key", "other", "score", "days"]).astype({"score": "float64", "days": "float64"})
+        return _best_of_block(x, y, least, days, share)
 
+    one, two = (x.repartition(tasks, "i", "j") for x in (one, two))
     found = one.groupBy("i", "j").cogroup(two.groupBy("i", "j")).applyInPandas(run, out)
     rank = F.struct((-F.col("score")).alias("s"), F.coalesce("days", F.lit(1e9)).alias("d"), "other")
     return found.groupBy("key").agg(F.min_by(F.struct("other", "score", "days"), rank).alias("m")).select("key", "m.*")

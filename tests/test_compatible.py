@@ -1,5 +1,8 @@
 import random
 
+import pandas as pd
+
+from fundloom.operators import resolve
 from fundloom.operators.resolve import best_compatible, token_set
 
 
@@ -20,3 +23,24 @@ def test_best_compatible_equals_all_pairs(spark):
     got = {r["key"]: (r["other"], r["score"]) for r in best_compatible(frame(left), frame(right), block=16).collect()}
     assert want and got == {k: (v[2], -v[0]) for k, v in want.items()}
     assert best_compatible(frame(left).limit(0), frame(right)).count() == 0
+
+
+def test_few_pairs_of_a_block_are_scored(monkeypatch):
+    rng, calls = random.Random(6), []
+    words = "soil reef coral spike film jury town cell graph noise river delta valley orchard sensor".split()
+    rows = lambda n: pd.DataFrame([(i, " ".join(rng.choice(words) for _ in range(6)), None if rng.random() < 0.5 else 90.0 * rng.randint(0, 20), None) for i in range(n)], columns=["key", "name", "day", "amount"]).astype({"day": "float64", "amount": "float64"})
+    x, y = rows(60), rows(400)
+    want = {}
+    for k, n, d, _ in x.itertuples(index=False):
+        for k2, n2, d2, _ in y.itertuples(index=False):
+            if not abs(d - d2) > 365 and (score := token_set(n, n2)) >= 85:
+                rank = (-score, abs(d - d2) if d == d and d2 == d2 else 1e9, k2)
+                want[k] = min(want.get(k, rank), rank)
+    monkeypatch.setattr(resolve, "token_set", lambda a, b: calls.append(1) or token_set(a, b))
+    got = {r.key: r.other for r in resolve._best_of_block(x, y, 85.0, 365, 0.15).itertuples()}
+    assert want and got == {k: v[2] for k, v in want.items()} and len(calls) < 0.05 * len(x) * len(y)
+
+
+def test_blocks_are_spread_over_tasks(spark):
+    df = spark.createDataFrame([(1, "soil", 1, 1.0)], "key bigint, name string, d int, amount double").selectExpr("key", "name", "date_add(date'1970-01-01', d) AS day", "amount")
+    assert "REPARTITION_BY_NUM" in best_compatible(df, df)._jdf.queryExecution().toString()
