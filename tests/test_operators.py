@@ -278,6 +278,22 @@ def test_sweep_adopted_equals_adoption_of_the_sweep(spark):
     assert len(want) == 4 and sorted(bm25.sweep_adopted(*args, gold, "answer").collect()) == sorted(want)
 
 
+def test_perplexities_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    together = threading.Barrier(3, timeout=60)  # breaks unless all fits have begun
+
+    class Model:
+        def __init__(self, k):
+            self.k = k
+
+        def logPerplexity(self, x):
+            return self.k + x.count()
+
+    monkeypatch.setattr(vocabulary, "lda_fit", lambda x, k, rounds: together.wait() >= 0 and Model(k))
+    assert vocabulary.perplexities(spark.range(10), [4, 2, 3]) == [(4, 14.0), (2, 12.0), (3, 13.0)]
+
+
 def test_choice_of_k_and_stability_of_terms(spark):
     from fundloom.operators import vocabulary as voc
 
