@@ -179,6 +179,14 @@ def test_betweenness_takes_more_edges_than_a_broadcast_has_rows(spark):
     assert len(a) > 200_000 and (got["n"], got["most"]) == (640, 0.0)
 
 
+def test_edges_of_betweenness_stay_out_of_the_driver(spark, monkeypatch):
+    frame = type(spark.range(1))
+    monkeypatch.setattr(frame, "toPandas", lambda self: pytest.fail("the edges were collected"))
+    pairs = [("a", "b"), ("b", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("c", "c"), ("c", "e")]  # repeated edges and a loop count as none
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == pytest.approx({"a": 0, "b": 6 / 12, "c": 10 / 12, "d": 0, "e": 0})
+
+
 def test_clusters_and_vocabulary(spark):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(c, 0.05, (12, 4)) for c in np.eye(4)[:3]])
