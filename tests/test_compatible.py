@@ -44,3 +44,13 @@ def test_few_pairs_of_a_block_are_scored(monkeypatch):
 def test_blocks_are_spread_over_tasks(spark):
     df = spark.createDataFrame([(1, "soil", 1, 1.0)], "key bigint, name string, d int, amount double").selectExpr("key", "name", "date_add(date'1970-01-01', d) AS day", "amount")
     assert "REPARTITION_BY_NUM" in best_compatible(df, df)._jdf.queryExecution().toString()
+
+
+def test_rows_are_not_shuffled_once_for_each_block_of_the_other_side(spark):
+    sc = spark.sparkContext
+    written = lambda: sum(s.shuffleWriteRecords() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())))
+    rows = [(i, f"soil reef {chr(97 + i % 26) * 9}", 900 * i, 100.0 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "key bigint, name string, d int, amount double").selectExpr("key", "name", "date_add(date'1970-01-01', d) AS day", "amount")
+    before = written()
+    got = {r["key"]: r["other"] for r in best_compatible(df, df, block=4).collect()}
+    assert got == {i: i for i in range(300)} and written() - before < 12 * len(rows)
