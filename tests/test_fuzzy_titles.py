@@ -1,3 +1,8 @@
+import random
+
+import numpy as np
+
+from fundloom.operators import resolve
 from fundloom.plans.joins import QUERIES
 
 
@@ -23,3 +28,21 @@ def test_agency_names_match_in_any_word_order(spark, tmp_path):
     spark.createDataFrame(rows, "agencyname string").write.parquet(f"{tmp_path}/grants.parquet")
     got = {r["key"]: r["match"] for r in QUERIES["j11_fuzzy_names"](spark, str(tmp_path)).collect()}
     assert len(got) == 2 and len(set(got.values())) == 1
+
+
+def test_floors_of_one_list_spare_names_pairs_in_another(monkeypatch):
+    floors, calls = {}, []
+    first = list(resolve._near_names(["soil reef film"], ["soil reef film"], 60.0, slack=5.0, floors=floors))
+    monkeypatch.setattr(resolve, "token_set", lambda a, b: calls.append(b) or 100.0)
+    assert [f[2] for f in first] == [100.0] and floors == {"soil reef film": 95.0}
+    assert not list(resolve._near_names(["soil reef film"], ["soil reef town", "coil reef filth"], 60.0, slack=5.0, floors=floors)) and not calls
+
+
+def test_subsequences_that_cannot_reach_their_need_stay_below_it():
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 150))) for _ in range(60)]
+    common, (i, j) = resolve._Common(names, names), map(np.ravel, np.indices((60, 60)))
+    full = common.lengths(i, j)
+    for need in (20, 60, 100):
+        some = common.lengths(i, j, np.full(len(i), float(need)))
+        assert (some[full >= need] == full[full >= need]).all() and (some[full < need] < need).all()
